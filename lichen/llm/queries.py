@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lichen.llm._shared import ship
+from lichen.llm.line_dedup import OP10_SQL, op10_line_dedup
 from lichen.llm.packing import op4_best_fit_packing
 
 
@@ -23,7 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
     for f in (
         op4_best_fit_packing,
+        op10_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
