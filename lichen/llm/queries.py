@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lichen.llm._shared import ship
 from lichen.llm.line_dedup import OP10_SQL, op10_line_dedup
+from lichen.llm.mixing import op5_source_mix
 from lichen.llm.packing import op4_best_fit_packing
 
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
     for f in (
         op4_best_fit_packing,
+        op5_source_mix,
         op10_line_dedup,
     )
 }
