@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where none is set (tests, one machine)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -74,6 +77,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends the package's Python files to the executors, once a session; they need not have it installed."""
     sc = spark.sparkContext
+    if spark.conf.get(_RECORDS, None) is None:
+        spark.conf.set(_RECORDS, "1000")  # texts are long: some megabytes a batch
     if getattr(sc, "_lichen_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -32,7 +32,7 @@ def word_path() -> str:
 class WordIds:
     """Ids by the tokenizer of a file, with a bounded table of words already seen."""
 
-    def __init__(self, path: str, most_words: int = 3_000_000, most_ids: int = 24_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 500_000, most_ids: int = 8_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 

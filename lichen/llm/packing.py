@@ -28,7 +28,7 @@ from lichen.llm._words import slices
 
 CAPACITY = 2048
 END_ID = 0
-BLOCK = 4096
+BLOCK = 512
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
