@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lichen.llm._shared import ship
+from lichen.llm.id_files import op6_id_files
 from lichen.llm.line_dedup import OP10_SQL, op10_line_dedup
 from lichen.llm.mixing import op5_source_mix
 from lichen.llm.packing import op4_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op4_best_fit_packing,
         op5_source_mix,
+        op6_id_files,
         op10_line_dedup,
     )
 }
