@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lichen.llm._shared import ship
 from lichen.llm.id_files import op6_id_files
 from lichen.llm.line_dedup import OP10_SQL, op10_line_dedup
+from lichen.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from lichen.llm.mixing import op5_source_mix
 from lichen.llm.packing import op4_best_fit_packing
 
@@ -28,8 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_best_fit_packing,
         op5_source_mix,
         op6_id_files,
+        op8_minhash_dedup,
         op10_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_minhash_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
