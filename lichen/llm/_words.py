@@ -15,6 +15,7 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.array([chr(i).isalnum() or i > 127 for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = np.random.Generator(np.random.PCG64(20_011)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -63,14 +64,16 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         a = b
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, first word of each text and the total, bytes); starts and ends are byte places."""
+def words(texts: pa.Array, lower: bool = False, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first word of each text and the total, bytes); starts and ends are byte places.
+
+    With ``letters``, words are runs of ASCII letters, digits and all bytes beyond ASCII instead."""
     offsets, data = raw(texts)
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), none, none, np.zeros(len(texts) + 1, np.int64), data
-    inside = ~_SPACE[data]
+    inside = (_LETTER if letters else ~_SPACE)[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]
@@ -87,5 +90,7 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
         place[~inside[starts[0] :]] = 0
     terms = weights(int(place.max()) + 1)[place]
     terms *= (_VALUE_LOWER if lower else _VALUE)[data[starts[0] :]]
+    if letters:
+        terms[~inside[starts[0] :]] = 0
     sums = np.add.reduceat(terms, starts - starts[0])
     return mix(sums + (ends - starts).astype(np.uint64)), starts, ends, first, data

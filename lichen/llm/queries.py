@@ -12,6 +12,7 @@ from lichen.llm.line_dedup import OP10_SQL, op10_line_dedup
 from lichen.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from lichen.llm.mixing import op5_source_mix
 from lichen.llm.packing import op4_best_fit_packing
+from lichen.llm.toxicity import op9_toxicity
 
 
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_source_mix,
         op6_id_files,
         op8_minhash_dedup,
+        op9_toxicity,
         op10_line_dedup,
     )
 }
