@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,7 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return reading(spark, path, df.schema)
+
+
+def reading(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def again(table: DataFrame) -> DataFrame:
+    """The same stored table as a source of its own, so that both can meet in one plan without ambiguous columns."""
+    return reading(table.sparkSession, table.stored_at, table.schema)
 
 
 def plain(docs: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lichen.llm._shared import ship
+from lichen.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from lichen.llm.id_files import op6_id_files
 from lichen.llm.line_dedup import OP10_SQL, op10_line_dedup
 from lichen.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from lichen.llm.mixing import op5_source_mix
 from lichen.llm.packing import op4_best_fit_packing
+from lichen.llm.permutation_index import op2_permutation_index
 from lichen.llm.toxicity import op9_toxicity
 
 
@@ -27,13 +29,15 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
     for f in (
+        op2_permutation_index,
         op4_best_fit_packing,
         op5_source_mix,
         op6_id_files,
+        op7_embedding_dedup,
         op8_minhash_dedup,
         op9_toxicity,
         op10_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_minhash_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_embedding_dedup": OP7_SQL, "op8_minhash_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
