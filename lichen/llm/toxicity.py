@@ -16,7 +16,7 @@ repeated rows are scored alike; an empty table gives no rows; further columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,27 +128,34 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return Model(np.array(order, np.int64).view(np.uint64), w, bias, prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row."""
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of the text column: the score, from 0 to 1, of each whole text."""
     coarse = np.zeros(1 << 16, bool)
     coarse[(model.hashes >> np.uint64(48)).astype(np.int64)] = True
-    sent = docs.sparkSession.sparkContext.broadcast((model, coarse))
+    sent = spark.sparkContext.broadcast((model, coarse))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score_of(texts: pa.Array) -> pa.Array:
         model, coarse = sent.value
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                h, doc = features(batch.column(1)[a:b])
-                near = np.flatnonzero(coarse[(h >> np.uint64(48)).astype(np.int64)])
-                at = np.searchsorted(model.hashes, h[near])
-                at[at == len(model.hashes)] = 0
-                hit = model.hashes[at] == h[near] if len(model.hashes) else np.zeros(len(at), bool)
-                both = np.unique(doc[near[hit]] * (len(model.hashes) + 1) + at[hit])  # a feature counts once a text
-                doc, at = np.divmod(both, len(model.hashes) + 1)
-                g = np.bincount(doc, model.weights[at], b - a) + model.bias
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(1 / (1 + np.exp(-np.clip(g, -500, 500))))], ["doc_id", "score"])
-
-    return plain(docs).mapInArrow(run, "doc_id long, score double")
+        out = [np.empty(0)]
+        for a, b in slices(texts):
+            h, doc = features(texts[a:b])
+            near = np.flatnonzero(coarse[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.searchsorted(model.hashes, h[near])
+            at[at == len(model.hashes)] = 0
+            hit = model.hashes[at] == h[near] if len(model.hashes) else np.zeros(len(at), bool)
+            both = np.unique(doc[near[hit]] * (len(model.hashes) + 1) + at[hit])  # a feature counts once a text
+            doc, at = np.divmod(both, len(model.hashes) + 1)
+            g = np.bincount(doc, model.weights[at], b - a) + model.bias
+            out.append(1 / (1 + np.exp(-np.clip(g, -500, 500))))
+        return pa.array(np.concatenate(out))
+
+    return lambda text: score_of(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row."""
+    return plain(docs).select("doc_id", scorer(docs.sparkSession, model)(F.col("text")).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
