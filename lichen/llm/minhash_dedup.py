@@ -1,11 +1,14 @@
 """Near-duplicate documents by min-max hashing of word shingles, every link confirmed on full sets.
 
 Each permutation gives two values, its minimum and its maximum, so half the hash evaluations fill the signature. Bands
-of four values find a pair at similarity 0.8 with probability 1 - (1 - 0.8**4)**32, a miss in about 2e7 pairs.
-Documents with the same words are one class from the start, and only its smallest doc_id goes on. In a band's bucket
-each member is first compared with the smallest one: that settles groups of copies in as many comparisons as members.
-Members whose bucket then still spans several components are compared with one another, except for pairs inside
-a component and pairs already compared, in rounds of bounded size; no bucket is capped or cut.
+of six values find a pair at similarity 0.8 with probability 1 - (1 - 0.8**6)**40, a miss in about 2e5 pairs, and
+fewer above it. Documents with the same words are one class from the start, and only its smallest doc_id goes on.
+
+Documents that share a band's bucket are candidates. They are joined to the smallest of their bucket, so a bucket costs as
+many rows as members, and the components of that are candidate groups. A group's full sets meet in blocks of bounded
+size: a posting list of a block's shingles counts the intersections of a document with all others at once, and what
+a block returns is a spanning forest of its links, never its pairs. No bucket, group or partner is capped. A group
+beyond one block is compared block by block; only such groups cost more than their size.
 
 Defined cases: null or empty text, or white space only, has no shingles and links with nothing; fewer words than a
 shingle has are one shingle; a null doc_id has its shingle count, no component (null) and is kept; rows with the same
@@ -14,6 +17,7 @@ doc_id are one node; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,8 @@ from lichen.llm._shared import components, plain, stored
 from lichen.llm._words import mix, slices, weights, words
 
 SHINGLE, PERCENT = 5, 80
-ROWS, BANDS = 4, 32
-ROUND_PAIRS = 4_000_000
+ROWS, BANDS = 6, 40
+BLOCK_SHINGLES = 500_000
 _random = np.random.Generator(np.random.PCG64(5_077))
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _MULTIPLY = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -111,26 +115,40 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return plain(docs).mapInArrow(run, "doc_id long, s binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of the pairs, by their full sets; the larger side's set meets the pair first, as it has
-    the fewest pairs, and the side that many share is brought last."""
-    wide = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                short, long = (p, q) if len(p) < len(q) else (q, p)
-                both = 0
-                if 100 * len(short) >= percent * len(long) and len(long):
-                    at = np.searchsorted(long, short)
-                    at[at == len(long)] = 0
-                    both = int((long[at] == short).sum())
-                linked.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
+def _forest(ids: list[int], sets: list[np.ndarray], home: list[bool] | None, percent: int, root: dict[int, int]) -> None:
+    """Joins in ``root`` the ids of linked sets: all pairs, or those of a home set with another one."""
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in ids:
+        root.setdefault(i, i)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.concatenate([[0], np.cumsum(size)])
+    listed = np.ones(len(sets), bool) if home is None else ~np.array(home)
+    keep = listed[owner]
+    order = np.argsort(number[keep], kind="stable")
+    posting = owner[keep][order]
+    first = np.searchsorted(number[keep][order], np.arange(len(values) + 1))
+    roots = len({top(i) for i in ids})
+    for x in range(len(sets)) if home is None else np.flatnonzero(home).tolist():
+        if roots == 1:
+            break
+        own = number[cut[x] : cut[x + 1]]
+        a, n = first[own], first[own + 1] - first[own]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(posting[at], minlength=len(sets))
+        linked = np.flatnonzero((100 * both >= percent * (size[x] + size - both)) & (both > 0) & listed)
+        for y in linked.tolist():
+            p, q = top(ids[x]), top(ids[y])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                roots -= 1
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
@@ -147,30 +165,33 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     texts = plain(docs)
     sets = stored(shingle_sets(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi"), k), "sets")
 
-    star = members.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    done = stored(_confirm(star, sets, percent), "confirmed")
-    turn, turns = 0, 1
-    while True:
-        parts = stored(components(done.where("linked")), "components")
-        # buckets that span several components, and in them all members outside their largest one
-        at = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        per = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = per.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).where("k > 1")
-        rest = stored(at.join(open_keys.select("key", "big", "m"), "key"), "open")
-        if turn == 0:
-            work = rest.where("c <> big").agg(F.sum("m")).first()[0] or 0
-            turns = -(-work // ROUND_PAIRS)
-        if turn >= turns:
-            break
-        left = rest.where("c <> big").where(F.pmod(F.xxhash64("rep"), F.lit(turns)) == turn).select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), "big")
-        right = rest.select("key", F.col("rep").alias("y"), F.col("c").alias("cy"))
-        met = left.join(right, "key").where("cx <> cy AND (cy = big OR x < y)")
-        if turns > 1:  # the other may have had its turn, or have it still: then the pair is met there or here
-            met = left.join(right, "key").where("cx <> cy")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = stored(done.unionByName(_confirm(pairs, sets, percent)), "confirmed")
-        turn += 1
+    star = members.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    groups = stored(components(star), "groups")
+    held = stored(sets.dropDuplicates(["doc_id"]).join(groups, F.col("doc_id") == F.col("node")).select(F.col("component").alias("g"), "doc_id", "s", (F.length("s") / 8).cast("long").alias("n")), "held")
+    weight = held.groupBy("g").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int"))
+    tasks = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    at = held.join(weight.drop("w"), "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    small = at.where("blocks = 1").select(F.pmod(F.xxhash64("g"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g", "block", "doc_id", "s")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    large = at.where("blocks > 1").withColumn("other", other).select(F.col("g").alias("task"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "g", "block", "doc_id", "s")
+
+    def link(table: pa.Table) -> pa.Table:
+        by: dict[int, list[int]] = defaultdict(list)
+        for k, g in enumerate(table.column("g").to_pylist()):
+            by[g].append(k)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        doc, block = table.column("doc_id").to_pylist(), table.column("block").to_pylist()
+        raw = table.column("s").to_pylist()
+        root: dict[int, int] = {}
+        for rows in by.values():
+            home = None if i == j else [block[k] == i for k in rows]
+            if len(rows) > 1 and (home is None or any(home) and not all(home)):
+                _forest([doc[k] for k in rows], [np.frombuffer(raw[k], np.uint64) for k in rows], home, percent, root)
+        pairs = [(x, r) for x, r in root.items() if x != r]
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    links = small.unionByName(large).groupBy("task", "i", "j").applyInArrow(link, "a long, b long")
+    parts = stored(components(links), "components")
     whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = sig.join(whole, (sig["k1"] == whole["k1"]) & (sig["k2"] == whole["k2"]) & (sig["n_shingles"] > 0) & sig["doc_id"].isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
