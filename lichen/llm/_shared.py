@@ -31,7 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return reading(spark, path, df.schema)
 
 

@@ -76,21 +76,21 @@ def schedule(per_source: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, row, size, source_size, target, taken): one row a row of docs; ``row`` tells equal ones apart if given."""
     has_row = "_row" in docs.columns
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *([F.col("_row").alias("row")] if has_row else [F.lit(0).cast("long").alias("row")]))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), *([F.col("_row").alias("row")] if has_row else [F.lit(0).cast("long").alias("row")]))
     d = stored(d, "sizes")
     per_source = stored(targets(d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), weights, share, most), "targets")
     slots = schedule(per_source, block)
 
     # documents of a source in hash order: blocks of the hash range, ranked inside, moved by the sizes before
     src = F.broadcast(per_source) if per_source.limit(20_001).count() <= 20_000 else per_source
-    d = d.join(src, d["source"].eqNullSafe(per_source["source"]), "left").select("doc_id", "row", "size", "sid", "n", "source_size", "target")
-    key = F.xxhash64(F.lit("mix"), "doc_id", "row")
+    d = d.join(src, d["source"].eqNullSafe(per_source["source"]), "left").select("doc_id", "row", "size", "tie", "sid", "n", "source_size", "target")
+    key = F.xxhash64(F.lit("mix"), "doc_id", "tie")  # of the contents: row numbers may differ between runs
     d = d.withColumn("key", key).withColumn("part", F.shiftrightunsigned("key", 32) * F.greatest(F.lit(1), F.ceil(F.col("n") / DOC_BLOCK)) / F.lit(2**32))
     d = d.withColumn("part", F.floor("part").cast("long"))
-    inside = d.withColumn("o", F.coalesce(F.sum("size").over(Window.partitionBy("sid", "part").orderBy("key", "doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = d.withColumn("o", F.coalesce(F.sum("size").over(Window.partitionBy("sid", "part").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = d.groupBy("sid", "part").agg(F.sum("size").alias("c"))
     before = before.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = inside.join(before.drop("c"), ["sid", "part"]).withColumn("o", F.col("o") + F.col("before")).drop("before", "part", "key")
+    at = inside.join(before.drop("c"), ["sid", "part"]).withColumn("o", F.col("o") + F.col("before")).drop("before", "part", "key", "tie")
     at = stored(at.withColumn("uid", F.monotonically_increasing_id()), "places")
 
     spans = at.where("size > 0").select("uid", "sid", "o", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"))

@@ -147,7 +147,8 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
             both = np.unique(doc[near[hit]] * (len(model.hashes) + 1) + at[hit])  # a feature counts once a text
             doc, at = np.divmod(both, len(model.hashes) + 1)
             g = np.bincount(doc, model.weights[at], b - a) + model.bias
-            out.append(1 / (1 + np.exp(-np.clip(g, -500, 500))))
+            with np.errstate(over="ignore"):
+                out.append(1 / (1 + np.exp(-g)))
         return pa.array(np.concatenate(out))
 
     return lambda text: score_of(F.coalesce(text.cast("string"), F.lit("")))
