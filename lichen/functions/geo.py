@@ -15,7 +15,7 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.radians(lon) * RADIUS, F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS
 
 
-def tile_bounds(x: int, y: int, z: int) -> tuple[float, float, float, float]:
+def tile_bounds(x: int, y: int, z: int) -> tuple[float, ...]:
     """Mercator metres (west, south, east, north) of a tile."""
     size = 2 * math.pi * RADIUS / 2**z
     west, north = -math.pi * RADIUS + x * size, math.pi * RADIUS - y * size

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKERS = ("var.", "subsp.", "f.", "nothosubsp.", "nothovar.")
+MARKERS = ("nothovar.", "nothosubsp.", "var.", "f.", "subsp.")
 
 
 def normalized(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def saturation(t: Column) -> Column:
     """kPa over water at t degrees Celsius."""
-    return 0.6108 * F.exp(17.27 * t / (t + 237.3))
+    return 0.6108 * F.exp(t * 17.27 / (237.3 + t))
 
 
 def vpd(t: Column, dew: Column) -> Column:
@@ -18,7 +18,7 @@ def vpd(t: Column, dew: Column) -> Column:
 
 def dew_point(t: Column, humidity: Column) -> Column:
     """Degrees Celsius; the humidity is held between 1 and 100."""
-    g = F.ln(F.greatest(F.lit(1.0), F.least(F.lit(100.0), humidity)) / 100) + 17.625 * t / (243.04 + t)
+    g = F.ln(F.greatest(F.lit(1.0), F.least(F.lit(100.0), humidity)) / 100) + t * 17.625 / (t + 243.04)
     return 243.04 * g / (17.625 - g)
 
 

@@ -19,7 +19,7 @@ def gaussian_curve(x: np.ndarray, n: np.ndarray, std: float, reflect: bool) -> t
     total = n.sum()
     h = 1.06 * std * total**-0.2
     if h <= 0:
-        return 0.0, np.array([]), np.array([])
+        return 0.0, np.empty(0), np.empty(0)
     points = np.linspace(x.min(), x.max(), OUT)
     kernel = lambda c: (np.exp(-0.5 * ((points[:, None] - c[None, :]) / h) ** 2) @ n) / (total * h * math.sqrt(2 * math.pi))
     density = kernel(x) + (kernel(-x) if reflect and x.min() >= 0 else 0)
@@ -34,7 +34,7 @@ def circular_curve(degrees: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarra
     r = min(1.0, abs((n * np.exp(1j * a)).sum()) / total)
     spread = math.sqrt(-2 * math.log(max(r, 1e-10)))
     if math.degrees(spread) < 1e-6:
-        return 0.0, np.array([]), np.array([])
+        return 0.0, np.empty(0), np.empty(0)
     h = max((4 / (3 * total)) ** 0.2 * spread, 0.05)
     k = np.arange(1, BINS // 2)
     c = (n * np.exp(-1j * np.outer(k, a))).sum(1) / total * np.exp(-0.5 * (k * h) ** 2)

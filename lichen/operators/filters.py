@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Ring = list[tuple[float, float]]
+
 
 def good_quality(df: DataFrame, most: float = 500) -> DataFrame:
     """Not obscured, and of known or unknown uncertainty up to ``most``; columns that are absent don't matter."""
@@ -64,7 +66,7 @@ def chained(df: DataFrame, conditions: list[dict]) -> DataFrame:
     return df
 
 
-def in_polygon(lat: Column, lon: Column, rings: list[list[tuple[float, float]]]) -> Column:
+def in_polygon(lat: Column, lon: Column, rings: list[Ring]) -> Column:
     """Inside any ring of (lat, lon) corners, by ray casting in plain expressions; rings under three corners are skipped.
     A bounding box comes first, so most rows cost two comparisons and the box can reach the scan."""
     inside = F.lit(False)
@@ -83,7 +85,7 @@ def in_polygon(lat: Column, lon: Column, rings: list[list[tuple[float, float]]])
     return inside
 
 
-def decode_polyline(text: str) -> list[tuple[float, float]]:
+def decode_polyline(text: str) -> Ring:
     """(lat, lon) corners of an encoded polyline: zigzag deltas in groups of five bits, 1e-5 degrees."""
     out, at, point = [], 0, [0, 0]
     while at < len(text):
@@ -103,7 +105,7 @@ def decode_polyline(text: str) -> list[tuple[float, float]]:
     return out
 
 
-def parse_rings(text: str, rings: int = 50, corners: int = 2000, chars: int = 40_000) -> list[list[tuple[float, float]]]:
+def parse_rings(text: str, rings: int = 50, corners: int = 2000, chars: int = 40_000) -> list[Ring]:
     """Rings of a ;-joined text; the caps guard a service, and break them by an error."""
     if len(text) > chars:
         raise ValueError("polygon text too long")

@@ -23,7 +23,7 @@ def rank_positions(values: DataFrame, tree: DataFrame, least_count: int = 10) ->
     w = Window.partitionBy(*by)
     below = w.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     steps = each.withColumns({"position": F.coalesce(F.sum("_n").over(below), F.lit(0)), "count": F.sum("_n").over(w)}).drop("_n")
-    return at.join(steps, [*by, "value"]).select(*by, "taxon_key", "value", "position", "count")
+    return at.join(steps, [*by, "value"]).select(*by, "taxon_key", "position", "count", "value")
 
 
 def with_implicit_zeros(positions: DataFrame, totals: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def with_implicit_zeros(positions: DataFrame, totals: DataFrame) -> DataFrame:
     totals: (ancestor, rank, variable, population)."""
     j = positions.join(totals, ["ancestor", "rank", "variable"])
     zeros = F.col("population") - F.col("count")
-    return j.select("ancestor", "rank", "variable", "metric", "taxon_key", "value", (F.col("position") + zeros).alias("position"), F.col("population").alias("count"))
+    return j.select("ancestor", "rank", "variable", "metric", "value", "taxon_key", (F.col("position") + zeros).alias("position"), F.col("population").alias("count"))
 
 
 def relative_rank(position: Column, count: Column) -> Column:
@@ -54,7 +54,7 @@ def ranked_page(ranked: DataFrame, offset: int, limit: int, descending: bool = F
 def parse_stat_filter(text: str) -> tuple[str, str, str, float, bool]:
     """variable:metric:op:value[:count]."""
     parts = text.split(":")
-    if len(parts) not in (4, 5) or parts[2] not in OPS or len(parts) == 5 and parts[4] != "count":
+    if parts[4:] not in ([], ["count"]) or len(parts) < 4 or parts[2] not in OPS:
         raise ValueError(f"not a filter: {text}")
     return parts[0], parts[1], parts[2], float(parts[3]), len(parts) == 5
 
@@ -95,3 +95,23 @@ def dense_cells(places: DataFrame, n: int = 15) -> DataFrame:
     cells = places.withColumns({"cell_lat": F.floor("lat").cast("long"), "cell_lon": F.floor("lon").cast("long")})
     w = Window.partitionBy("cell_lat", "cell_lon").orderBy(F.desc("population"), "place")
     return cells.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("place", "cell_lat", "cell_lon", "population", "r")
+
+
+def isolated(places: DataFrame, kilometres: float = 150.0) -> DataFrame:
+    """Places without another of at least their population within the distance.
+
+    Neighbours are looked for in cells of the distance's size in three dimensions, the own and the 26 around it. A place
+    needs only the largest other place nearby, so cells first keep what can decide: the places of a cell are compared
+    with each other only where they meet, by an equal join on the cell.
+    """
+    radius = 6371.0
+    lat, lon = F.radians("lat"), F.radians("lon")
+    p = places.withColumns({"_x": F.cos(lat) * F.cos(lon) * radius, "_y": F.cos(lat) * F.sin(lon) * radius, "_z": F.sin(lat) * radius})
+    cell = lambda d, *shift: [(F.floor(F.col(c) / kilometres) + s).alias(n) for c, n, s in zip(("_x", "_y", "_z"), ("_i", "_j", "_k"), shift, strict=True)]
+    own = p.select("place", "population", "_x", "_y", "_z", *cell(p, 0, 0, 0))
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
+    near = p.select(F.col("place").alias("other"), F.col("population").alias("pop2"), F.col("_x").alias("x2"), F.col("_y").alias("y2"), F.col("_z").alias("z2"), around.alias("s"))
+    near = near.select("other", "pop2", "x2", "y2", "z2", *((F.floor(F.col(c) / kilometres) + F.col(f"s.{s}")).alias(n) for c, n, s in (("x2", "_i", "a"), ("y2", "_j", "b"), ("z2", "_k", "c"))))
+    apart = (F.col("_x") - F.col("x2")) ** 2 + (F.col("_y") - F.col("y2")) ** 2 + (F.col("_z") - F.col("z2")) ** 2
+    beaten = own.join(near, ["_i", "_j", "_k"]).where((F.col("place") != F.col("other")) & (F.col("pop2") >= F.col("population")) & (apart <= kilometres**2)).select("place").distinct()
+    return places.join(beaten, "place", "left_anti")

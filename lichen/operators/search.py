@@ -29,7 +29,7 @@ def fuzzy_top(names: DataFrame, query: str, n: int = 20) -> DataFrame:
     """(taxon_key, name, score): the best name of each key. Every token of the query must begin some token of the name, which
     plain expressions test first, so that only those reach Python; 20 more for the same name, 2 less for each extra
     token, and a floor of 70 (60 for several tokens)."""
-    q = " ".join(query.replace("_", " ").lower().split())
+    q = " ".join(query.lower().replace("_", " ").split())
     tokens = q.split()
     if not tokens:
         return names.limit(0).select("taxon_key", "name", F.lit(0.0).alias("score"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lichen.functions import geo, text, units, weather
-from lichen.operators import filters, hierarchy, incremental, ranking, stats, timeseries
+from lichen.operators import density, filters, hierarchy, incremental, ranking, search, stats, timeseries
 from lichen.sources.tables import SQL_HOURLY, SQL_OBS, SQL_TAXA, hourly, observations, table, taxa
+from lichen.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -47,13 +48,10 @@ def _spelled(sql: str) -> str:
     return sql
 
 
-CONTINUOUS = ["min", "10th_percentile", "25th_percentile", "median", "75th_percentile", "90th_percentile", "max", "mean", "std", "variance", "iqr", "10_90_range", "range"]
-
-
 def _continuous_sql(rows: str, by: str, v: str) -> str:
     q = lambda p: f"quantile_cont({v}, {p})"
     sd = f"coalesce(stddev_samp({v}), 0)"
-    parts = {"min": f"min({v})", "10th_percentile": q(0.1), "25th_percentile": q(0.25), "median": q(0.5), "75th_percentile": q(0.75), "90th_percentile": q(0.9), "max": f"max({v})", "mean": f"avg({v})", "std": sd, "variance": f"{sd} * {sd}", "iqr": f"{q(0.75)} - {q(0.25)}", "10_90_range": f"{q(0.9)} - {q(0.1)}", "range": f"max({v}) - min({v})"}
+    parts = {name: q(p) for name, p in stats.POINTS} | {"min": f"min({v})", "max": f"max({v})", "mean": f"avg({v})", "std": sd, "variance": f"{sd} * {sd}", "iqr": f"{q(0.75)} - {q(0.25)}", "10_90_range": f"{q(0.9)} - {q(0.1)}", "range": f"max({v}) - min({v})"}
     return f"SELECT {by}, count(*) AS count, count(DISTINCT catalog_number) AS unique_samples, " + ", ".join(f'fix({e}, {0 if n == "variance" else 6}) AS "{n}"' for n, e in parts.items()) + f" FROM {rows} GROUP BY {by}"
 
 
@@ -257,12 +255,12 @@ def rank_class_implicit_zero(spark: SparkSession, d: str) -> DataFrame:
     each = rows.groupBy("taxon_key").agg(F.round(F.mean((F.col("nominal") == 80).cast("double")), 6).alias("value"), F.count(F.lit(1)).alias("samples")).where("samples >= 5").withColumns({"rank": F.lit("SPECIES"), "variable": F.lit("nominal"), "metric": F.lit("class_80")})
     tree = hierarchy.closure(taxa(spark, d))
     totals = each.join(tree.where("distance > 0"), F.col("taxon_key") == F.col("descendant")).groupBy("ancestor", "rank", "variable").agg(F.count(F.lit(1)).alias("population"))
-    return ranking.with_implicit_zeros(ranking.rank_positions(each.where("value > 0"), tree, 5), totals).select("ancestor", "taxon_key", "value", "position", "count")
+    return ranking.with_implicit_zeros(ranking.rank_positions(each.where("value > 0"), tree, 5), totals).select("ancestor", "taxon_key", "position", "count", "value")
 
 
 @query(_POSITIONS + " SELECT taxon_key, value, position, count, position / count * 100 AS percentile FROM p WHERE ancestor = 'r1' ORDER BY value, taxon_key LIMIT 25 OFFSET 10")
 def ranked_page_asc(spark: SparkSession, d: str) -> DataFrame:
-    p = _positions(spark, d).where("ancestor = 'r1'").select("taxon_key", "value", "position", "count", ranking.percentile_of(F.col("position"), F.col("count")).alias("percentile"))
+    p = _positions(spark, d).where("ancestor = 'r1'").select("taxon_key", "position", "count", "value", ranking.percentile_of(F.col("position"), F.col("count")).alias("percentile"))
     return ranking.ranked_page(p, 10, 25)
 
 
@@ -559,3 +557,69 @@ def unit_convert_entropy(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def evidence_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_OBS}, p AS (SELECT 'p' || catalog_number AS place, lat, lon, ratio AS population FROM obs WHERE catalog_number % 5 = 0), c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) * 6371e0 AS x, cos(radians(lat)) * sin(radians(lon)) * 6371e0 AS y, sin(radians(lat)) * 6371e0 AS z FROM p) SELECT place FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.place <> b.place AND b.population >= a.population AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 22500e0)")
+def isolated_places(spark: SparkSession, d: str) -> DataFrame:
+    p = observations(spark, d).where(F.col("catalog_number") % 5 == 0).select(F.concat(F.lit("p"), "catalog_number").alias("place"), "lat", "lon", F.col("ratio").alias("population"))
+    return ranking.isolated(p).select("place")
+
+
+@query(_rolled_sql("nominal") + ", c AS (SELECT taxon_key, nominal AS k, count(*) AS n FROM f GROUP BY ALL) SELECT taxon_key, count(*) AS classes, max(k) AS largest_class FROM c WHERE n > 0 GROUP BY 1")
+def class_fraction_map(spark: SparkSession, d: str) -> DataFrame:
+    c = stats.class_fractions(_rolled(spark, d, "nominal"), ["taxon_key"], "nominal").where("fraction > 0")
+    m = c.groupBy("taxon_key").agg(F.map_from_entries(F.collect_list(F.struct("class", "fraction"))).alias("m"))
+    return m.select("taxon_key", F.size("m").cast("long").alias("classes"), F.array_max(F.map_keys("m")).alias("largest_class"))
+
+
+@query("SELECT c_custkey, fix(c_acctbal * 1.8e0 + 32, 6) AS point, fix(abs(c_acctbal) / 1.8e0, 6) AS density FROM customer")
+def density_convert(spark: SparkSession, d: str) -> DataFrame:
+    points, values = units.convert_density(F.array("c_acctbal"), F.array(F.abs("c_acctbal")), "°C")
+    return rounded(table(spark, d, "customer").select("c_custkey", points[0].alias("point"), values[0].alias("density")))
+
+
+@query("WITH w AS (SELECT user_id % 20 AS cell, date_trunc('hour', ts) - to_hours(CAST(i AS BIGINT)) AS first, value FROM events, range(6) r(i)) SELECT cell, first, first + INTERVAL 6 HOUR AS last, fix(sum(value), 4) AS sum, count(value) AS n, fix(avg(value), 4) AS avg FROM w GROUP BY ALL")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("cell"), "ts", "value")
+    return rounded(windows.sliding(e, 6), 4)
+
+
+# numeric results without SQL: rows only
+
+
+@query(None)
+def kde_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    return density.density(_rolled(spark, d, "ratio"), "taxon_key", "ratio", "ratio")
+
+
+@query(None)
+def kde_circular(spark: SparkSession, d: str) -> DataFrame:
+    return density.density(_rolled(spark, d, "angle"), "taxon_key", "angle", "circular")
+
+
+@query(None)
+def ternary_density(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", (F.col("l_discount") * 100).alias("b"), (F.col("l_tax") * 100).alias("c"))
+    return density.ternary(rows, "l_returnflag", ("l_quantity", "b", "c"))
+
+
+@query(None)
+def von_mises_entropy(spark: SparkSession, d: str) -> DataFrame:
+    c = stats.circular(_rolled(spark, d, "angle"), ["taxon_key"], "angle")
+
+    def run(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            yield f.assign(entropy=f["rbar"].map(stats.von_mises_entropy))
+
+    return c.select("taxon_key", "rbar").mapInPandas(run, "taxon_key string, rbar double, entropy double")
+
+
+@query(None)
+def stats_continuous_sketch(spark: SparkSession, d: str) -> DataFrame:
+    return stats.continuous_sketch(_rolled(spark, d, "ratio"), ["taxon_key"], "ratio")
+
+
+@query(None)
+def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("taxon_key"), F.col("p_name").alias("name"))
+    return search.fuzzy_top(names, "red wid", 50)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def event_time(date: Column, time: Column) -> Column:
 def occurrences(raw: DataFrame) -> DataFrame:
     """An export's rows in the base schema; rows without a usable place, or of a rank that is no leaf, go."""
     lat, lon = (F.expr(f"try_cast({c} AS double)") for c in ("decimalLatitude", "decimalLongitude"))
-    rows = raw.where(F.col("taxonRank").isin("SPECIES", "SUBSPECIES", "VARIETY", "FORM")).withColumns({"_lat": lat, "_lon": lon}).where("_lat BETWEEN -90 AND 90 AND _lon BETWEEN -180 AND 180")
+    rows = raw.where(F.col("taxonRank").isin("FORM", "VARIETY", "SUBSPECIES", "SPECIES")).withColumns({"_lat": lat, "_lon": lon}).where("_lat BETWEEN -90 AND 90 AND _lon BETWEEN -180 AND 180")
     evidence = F.from_json("dynamicProperties", "evidenceOfPresence array<string>")["evidenceOfPresence"]
     single = F.get_json_object("dynamicProperties", "$.evidenceOfPresence")
     blank = lambda c: F.when(F.trim(c) != "", c)
@@ -62,9 +64,9 @@ def first_media(raw: DataFrame, order: str) -> DataFrame:
     return usable.select("gbifID", F.col("identifier").alias("url"), "license", F.coalesce(F.when(F.trim("rightsHolder") != "", F.col("rightsHolder")), F.col("creator")).alias("attribution"))
 
 
-def alias_of(columns: list[str], aliases: tuple[str, ...], inside: bool = False) -> str | None:
+def alias_of(names: list[str], aliases: Iterable[str], inside: bool = False) -> str | None:
     """The column that the first alias with a match names; ``inside`` also takes a part of a name."""
-    plain = {c: "".join(x for x in c.lower() if x.isalnum()) for c in columns}
+    plain = {c: "".join(x for x in c.lower() if x.isalnum()) for c in names}
     for a in aliases:
         for c, p in plain.items():
             if p == a:

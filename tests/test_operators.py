@@ -41,11 +41,23 @@ def test_filters(spark):
 
 
 def test_polygons(spark):
-    ring = filters.decode_polyline("_p~iF~ps|U_ulLnnqC_mqNvxq`@")
-    assert ring == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
-    assert filters.parse_rings("_p~iF~ps|U_ulLnnqC_mqNvxq`@;_p~iF~ps|U") == [ring]
+    def encoded(points):
+        out, last = "", (0, 0)
+        for p in points:
+            now = tuple(round(x * 1e5) for x in p)
+            for d in (a - b for a, b in zip(now, last, strict=True)):
+                v = ~(d << 1) if d < 0 else d << 1
+                while v >= 32:
+                    out, v = out + chr((32 | v & 31) + 63), v >> 5
+                out += chr(v + 63)
+            last = now
+        return out
+
+    ring = [(1.5, -2.25), (-80.00001, 179.5), (3.0, 3.0)]
+    assert filters.decode_polyline(encoded(ring)) == ring
+    assert filters.parse_rings(f"{encoded(ring)};{encoded(ring[:1])}") == [ring]
     with pytest.raises(ValueError):
-        filters.decode_polyline("_p~iF~ps|U_")
+        filters.decode_polyline(encoded(ring)[:-1] + "_")
     star = [(0.0, 0.0), (4.0, 2.0), (0.0, 4.0), (1.0, 2.0)]
     df = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0), (0.5, 2.0), (5.0, 5.0)], "lat double, lon double")
     assert [r[0] for r in df.select(filters.in_polygon(F.col("lat"), F.col("lon"), [star, [(1, 1)]])).collect()] == [True, True, False, False]
