@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from lichen.llm._words import slices, words
+from lichen.llm._words import Pair, slices, words
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[\n!-~À-ÖØ-öø-ÿ]+")
@@ -117,7 +117,7 @@ class WordIds:
             before = 0
         self._place(self.hash[before : self.n], np.arange(before, self.n, dtype=np.int32))
 
-    def _encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, found: list[bytes]) -> Pair:
         """(ids of all words, ids of each); a word holds no line feed, so one joined text stands for all."""
         joined = b"\n".join(found).decode("utf-8", "replace")
         slow: dict[int, bytes] = {}
@@ -154,7 +154,7 @@ class WordIds:
             lengths = at
         return ids, lengths
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> Pair:
         """(ids of all texts, first id of each text and the total)."""
         parts, ends, total = [], [np.zeros(1, np.int64)], 0
         for a, b in slices(texts):
@@ -164,7 +164,7 @@ class WordIds:
             total += len(ids)
         return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.concatenate(ends)
 
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _slice(self, texts: pa.Array) -> Pair:
         if not self.by_word:
             got = self.full.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)
             return np.concatenate([np.asarray(e.ids, np.uint32) for e in got]), np.concatenate([[0], np.cumsum([len(e.ids) for e in got])])

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+Pair = tuple[np.ndarray, np.ndarray]
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw(texts: pa.Array) -> Pair:
     """(offsets, bytes) of a string or binary array; null counts as empty."""
     if texts.null_count:
         texts = texts.fill_null("")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lichen.llm._shared import again, components, stored
+from lichen.llm._words import Pair
 from lichen.llm.vectors import classes, matrix, vectors
 
 THRESHOLD = 0.9
@@ -50,7 +51,7 @@ def centres(v: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def visits(v: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def visits(v: np.ndarray, c: np.ndarray, threshold: float) -> Pair:
     """(cell of each row, a mask of the lower-numbered cells that it visits)."""
     s = v @ c.T
     home = s.argmax(1)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lichen.llm._shared import again, stored
+from lichen.llm._words import Pair
 from lichen.llm.vectors import classes, matrix, vectors
 
 PIVOTS, PREFIX, SHARE, LEAST = 128, 64, 0.35, 1000
@@ -55,7 +56,7 @@ def spread(v: np.ndarray, n: int, most: float = 0.8) -> np.ndarray:
     return v[(chosen + rest)[:n]]
 
 
-def search(q: np.ndarray, v: np.ndarray, pivots: np.ndarray, longest: float, k: int, prefix: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def search(q: np.ndarray, v: np.ndarray, pivots: np.ndarray, longest: float, k: int, prefix: int, share: float, least: int) -> Pair:
     """(numbers of the k rows of v found for each row of q, their inner products), best first; -1 for none."""
     prefix = min(prefix, len(pivots))
     own = permutations(lift(v, longest), pivots, prefix)
@@ -106,7 +107,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS,
     right = wanted.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        none = pa.table({"rep": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        none = pa.table({"rep": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.nulls(0, pa.float64())})
         if not len(index) or not len(queries):
             return none
         index = index.sort_by("rep")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lichen.llm._shared import plain, stored
-from lichen.llm._words import mix, slices, words
+from lichen.llm._words import Pair, mix, slices, words
 
 POSITIVES, UNLABELLED, FEATURES, STEPS = 4000, 8000, 2000, 300
 ERRORS = 4.0
@@ -45,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: pa.Array) -> Pair:
     """(hashes, number of the text of each): the words of the texts, and the beginnings of longer ones."""
     h, starts, ends, first, data = words(texts, lower=True, letters=True)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
