@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lichen.sources.session import ship
 
-_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+__all__ = ["again", "components", "plain", "reading", "shared_dir", "ship", "stored"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,19 +83,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package's Python files to the executors, once a session; they need not have it installed."""
-    sc = spark.sparkContext
-    if spark.conf.get(_RECORDS, None) is None:
-        spark.conf.set(_RECORDS, "1000")  # texts are long: some megabytes a batch
-    if getattr(sc, "_lichen_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lichen-")) / "lichen.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(target))
-    sc._lichen_shipped = True

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lichen.functions import geo, text, units, weather
 from lichen.operators import density, filters, hierarchy, incremental, ranking, search, stats, timeseries
+from lichen.sources.session import ship
 from lichen.sources.tables import SQL_HOURLY, SQL_OBS, SQL_TAXA, hourly, observations, table, taxa
 from lichen.streaming import windows
 
@@ -19,7 +20,11 @@ GOOD = "obscured = 'No' AND (uncertainty IS NULL OR uncertainty <= 500)"
 
 def query(sql: str | None, name: str = "") -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        CATALOG[name or f.__name__] = (f, _spelled(sql) if sql else None)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(spark, folder)
+
+        CATALOG[name or f.__name__] = (run, _spelled(sql) if sql else None)
         return f
 
     return add
