@@ -43,10 +43,39 @@ def title_case(name: Column) -> Column:
     return F.array_join(F.transform(F.split(name, " "), word), " ")
 
 
+# Licenses in order of preference, those that may be used at all, and what short codes stand for.
+LICENSE_ORDER = (("publicdomain", 0), ("cc0", 0), ("/by/4", 1), ("/by/3", 1), ("/by/2", 1), ("cc by ", 1), ("/by-sa/", 2), ("cc by-sa", 2), ("/by-nc/", 3), ("cc by-nc ", 3), ("/by-nc-sa/", 4), ("cc by-nc-sa", 4))
+LICENSE_USABLE = ("cc0", "cc by", "cc-by", "/by/", "/by-nd/", "/by-sa/", "/by-nc/", "/by-nc-sa/", "/by-nc-nd/", "publicdomain", "public domain")
+LICENSE_CODES = ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
+PUBLIC_DOMAIN = "https://creativecommons.org/publicdomain/zero/1.0/"
+
+
 def license_score(url: Column) -> Column:
     """0 for the most free to 4, 99 for none of the known ones."""
-    u = F.lower(F.coalesce(url, F.lit("")))
-    return F.when(u.contains("publicdomain/zero") | u.contains("cc0") | (u == "pd"), 0).when(u.contains("by-nc-sa"), 4).when(u.contains("by-nc"), 3).when(u.contains("by-sa"), 2).when(u.contains("/by/") | u.contains("cc-by"), 1).otherwise(99)
+    u, out = F.trim(F.lower(F.coalesce(url, F.lit("")))), F.lit(99)
+    for part, score in reversed(LICENSE_ORDER):
+        out = F.when(u.contains(part), score).otherwise(out)
+    return out
+
+
+def license_usable(url: Column) -> Column:
+    u = F.trim(F.lower(F.coalesce(url, F.lit(""))))
+    return (u == "pd") | F.exists(F.array(*map(F.lit, LICENSE_USABLE)), lambda part: u.contains(part))
+
+
+def license_url(raw: Column) -> Column:
+    """A short code's address; an address in its https form."""
+    u = F.trim(raw)
+    code = F.lower(u)
+    known = F.when(code.isin("cc0", "pd"), PUBLIC_DOMAIN).when(code.isin(*LICENSE_CODES), F.concat(F.lit("https://creativecommons.org/licenses/"), F.regexp_replace(code, "^cc-", ""), F.lit("/4.0/")))
+    return F.coalesce(known, F.regexp_replace(u, "^(.*?)http://", "$1https://"))
+
+
+def license_label(url: Column) -> Column:
+    """A short label of an address; other texts as they are, none for blank."""
+    zero = F.regexp_extract(url, "/publicdomain/zero/([^/]+)/", 1)
+    kind, version = (F.regexp_extract(url, "/licenses/([^/]+)/([^/]+)/", i) for i in (1, 2))
+    return F.when(zero != "", F.concat(F.lit("CC0 "), zero)).when(kind != "", F.concat(F.lit("CC "), F.upper(kind), F.lit(" "), version)).when(url != "", url)
 
 
 def obscured_flag(note: Column) -> Column:
@@ -59,3 +88,11 @@ def observation_id(text: Column) -> Column:
     whole = F.regexp_extract(text, r"^\s*(\d+)(?:\.0+)?\s*$", 1)
     runs = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
     return F.when(whole != "", whole).when(F.size(runs) == 1, F.element_at(runs, 1)).cast("long")
+
+
+def phrase(value: Column, steps: list[tuple[float, str]], beyond: str) -> Column:
+    """The label of the first limit that a value is under; null for null and NaN."""
+    out = F.lit(beyond)
+    for limit, label in reversed(steps):
+        out = F.when(value < limit, label).otherwise(out)
+    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), out)

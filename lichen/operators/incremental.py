@@ -55,3 +55,15 @@ def worklist(df: DataFrame, layers: list[str], order: str) -> DataFrame:
     """(catalog_number, missing): rows that lack a layer (null; NaN counts as done), with the names of those."""
     missing = F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in layers)), lambda x: x.isNotNull())
     return df.select("catalog_number", missing.alias("missing"), F.col(order).alias("_o")).where(F.size("missing") > 0).orderBy("_o", "catalog_number").drop("_o")
+
+
+def write_back(base: DataFrame, updates: DataFrame, column: str, order: str, key: str = "catalog_number") -> DataFrame:
+    """base with each key's last update; keys without one keep what they have, null included."""
+    last = updates.groupBy(key).agg(F.max_by(column, order).alias("_new"), F.lit(True).alias("_has"))
+    return base.join(last, key, "left").withColumn(column, F.when(F.col("_has"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_has")
+
+
+def pending(df: DataFrame, layers: list[str], since: int) -> DataFrame:
+    """Rows with a time and a place, from ``since`` on, that lack a layer. NaN is a result: sampled, and nothing there."""
+    whole = F.col("ts").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("ts") >= since)
+    return df.where(whole & F.exists(F.array(*(F.col(c).isNull() for c in layers)), lambda x: x))

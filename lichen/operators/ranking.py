@@ -115,3 +115,9 @@ def isolated(places: DataFrame, kilometres: float = 150.0) -> DataFrame:
     apart = (F.col("_x") - F.col("x2")) ** 2 + (F.col("_y") - F.col("y2")) ** 2 + (F.col("_z") - F.col("z2")) ** 2
     beaten = own.join(near, ["_i", "_j", "_k"]).where((F.col("place") != F.col("other")) & (F.col("pop2") >= F.col("population")) & (apart <= kilometres**2)).select("place").distinct()
     return places.join(beaten, "place", "left_anti")
+
+
+def bundle(fractions: DataFrame, by_fraction: list[str]) -> DataFrame:
+    """(variable, place, class, fraction): classes by falling fraction for the variables named, by class for others."""
+    order = F.when(F.col("variable").isin(by_fraction), -F.col("fraction")).otherwise(F.col("class"))
+    return fractions.withColumn("place", F.row_number().over(Window.partitionBy("variable").orderBy(order, "class"))).select("variable", "place", "class", "fraction")

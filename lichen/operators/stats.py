@@ -136,3 +136,30 @@ def von_mises_entropy(rbar: float) -> float:
         low, high = (mid, high) if b / a < rbar else (low, mid)
     k = (low + high) / 2
     return math.log(2 * math.pi) + math.log(scaled(k)[0]) + k * (1 - rbar)
+
+
+def tall(df: DataFrame, by: str, variables: list[str]) -> DataFrame:
+    """(by, variable, metric, value) with count, min, max and mean of several variables in one aggregation."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables)))
+    agg = df.select(by, pairs.alias("p")).select(by, "p.*").where(finite(F.col("x"))).groupBy(by, "variable")
+    wide_rows = agg.agg(F.count(F.lit(1)).cast("double").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.mean("x").alias("mean"))
+    return wide_rows.unpivot([by, "variable"], ["count", "min", "max", "mean"], "metric", "value")
+
+
+def wide(tall_rows: DataFrame, metric: str, variables: list[str], by: str = "taxon_key") -> DataFrame:
+    """One row a key, a column a variable: the values of one metric. Counts are longs."""
+    cells = [F.max(F.when(F.col("variable") == v, F.col("value"))) for v in variables]
+    kind = "long" if metric == "count" else "double"
+    return tall_rows.where(F.col("metric") == metric).groupBy(by).agg(*(c.cast(kind).alias(v) for c, v in zip(cells, variables, strict=True)))
+
+
+def sample_counts(numerical: DataFrame, nominal_rows: DataFrame, by: str = "taxon_key") -> DataFrame:
+    """The first positive count, by name of the variable, and where there is none the nominal total."""
+    first = numerical.where("metric = 'count' AND value > 0").groupBy(by).agg(F.min_by("value", "variable").cast("long").alias("_n"))
+    return nominal_rows.join(first, by, "full").select(by, F.coalesce("_n", "total_samples").alias("n"))
+
+
+def composition(*parts: Column) -> list[Column]:
+    """Shares of the parts' sum; null where it isn't positive."""
+    total = sum(parts[1:], parts[0])
+    return [F.when(total > 0, p / total) for p in parts]

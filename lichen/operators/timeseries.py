@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,33 @@ def chunk_of(times: DataFrame, chunks: DataFrame, time: str = "ts") -> DataFrame
     j = rows.join(spread, "_day").where((F.col("first") <= F.col(time)) & (F.col(time) <= F.col("last")))
     keep = times.columns
     return j.groupBy(*keep).agg(F.max_by(F.struct("chunk", "first"), "first").alias("_c")).select(*keep, F.col("_c.chunk").alias("chunk"), (F.col(time) - F.col("_c.first")).alias("into"))
+
+
+def at_observations(points: DataFrame, series: DataFrame, hours: int, key: str) -> DataFrame:
+    """(key, sum, n) of the last ``hours`` hours, its own included, of each point's cell.
+
+    Points and hours meet by (cell, part of the series as long as the window): a point looks into its own part and the one
+    before, so a long series is never one group, and a cell with many points is not one task.
+    """
+    p = points.select(key, "cell", "hour").withColumn("part", F.explode(F.array(F.floor(F.col("hour") / hours), F.floor(F.col("hour") / hours) - 1)))
+    s = series.select("cell", F.col("hour").alias("_h"), "value", F.floor(F.col("hour") / hours).alias("part"))
+    near = p.join(s, ["cell", "part"], "left").withColumn("_v", F.when((F.col("_h") <= F.col("hour")) & (F.col("_h") > F.col("hour") - hours) & F.col("value").isNotNull() & ~F.isnan("value"), F.col("value")))
+    return near.groupBy(key).agg(F.sum("_v").alias("sum"), F.count("_v").alias("n"))
+
+
+def cycle_of(modified: Column, hours: int = 6) -> Column:
+    """The model run, in epoch seconds, that files changed at a time belong to."""
+    return (F.floor(modified / (hours * 3600)) * hours * 3600).cast("long")
+
+
+def window_state(state: DataFrame, facts: DataFrame, now: int, hours: int, cell: str = "cell") -> DataFrame:
+    """The stored hours (cell, hour, source_rank, value) of the window that ends now: expired hours go, new ones come, and a
+    better source (smaller rank) of an hour replaces a worse one. Sums are taken from it anew, so nothing is ever
+    subtracted and no count can fall under 0."""
+    rows = state.unionByName(facts).where((F.col("hour") <= now) & (F.col("hour") > now - hours))
+    return rows.groupBy(cell, "hour").agg(F.min_by(F.struct("source_rank", "value"), F.struct("source_rank", "value")).alias("_b")).select(cell, "hour", "_b.source_rank", "_b.value")
+
+
+def finite_until(series: DataFrame, cell: str = "cell") -> DataFrame:
+    """(cell, last): the last hour with a value; later observations wait for a retry."""
+    return series.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(cell).agg(F.max("hour").alias("last"))

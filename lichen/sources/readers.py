@@ -60,7 +60,7 @@ def first_media(raw: DataFrame, order: str) -> DataFrame:
     """(gbifID, url, license, attribution): each observation's first row in file order, if it can be used at all; a later one
     does not take its place. ``order`` is an ordinal given when the file was landed."""
     first = raw.groupBy("gbifID").agg(F.min_by(F.struct("identifier", "license", "rightsHolder", "creator"), order).alias("m")).select("gbifID", "m.*")
-    usable = first.where((F.coalesce(F.trim("identifier"), F.lit("")) != "") & (text.license_score(F.col("license")) < 99))
+    usable = first.where((F.coalesce(F.trim("identifier"), F.lit("")) != "") & text.license_usable(F.col("license")))
     return usable.select("gbifID", F.col("identifier").alias("url"), "license", F.coalesce(F.when(F.trim("rightsHolder") != "", F.col("rightsHolder")), F.col("creator")).alias("attribution"))
 
 
