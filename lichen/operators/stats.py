@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POINTS = (("10th_percentile", 0.1), ("25th_percentile", 0.25), ("median", 0.5), ("75th_percentile", 0.75), ("90th_percentile", 0.9))
@@ -51,6 +51,39 @@ def continuous_sketch(df: DataFrame, by: list[str], value: str, accuracy: int =
     return _spread(agg)
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, points: tuple[tuple[str, float], ...] = POINTS, accuracy: int = 10_000) -> DataFrame:
+    """Exact percentiles by linear interpolation of groups of any size; the columns of ``by`` hold no null.
+
+    A sketch's rank is off by less than n / accuracy, so the values at two such steps on either side enclose those wanted.
+    What lies below is counted by partial sums; what lies within is counted by value, which spreads a hot group over
+    all tasks, and only those counts are put in order, by group and point.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(finite(v)).select(*by, v.alias("_v"))
+    step = 2.0 / accuracy
+    ends = [x for _, p in points for x in (max(0.0, p - step), min(1.0, p + step))]
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.approx_percentile("_v", ends, accuracy).alias("_e"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # a place between two ranks needs both: the rank below and the one above it, counted from 0
+    at = lambda p: F.lit(p) * (F.col("_n") - 1)
+    wanted = [F.struct(F.lit(i).alias("i"), F.when(F.lit(p <= step), F.col("_low")).otherwise(F.col("_e")[2 * i]).alias("a"), F.when(F.lit(p >= 1 - step), F.col("_high")).otherwise(F.col("_e")[2 * i + 1]).alias("b"), at(p).alias("at")) for i, (_, p) in enumerate(points)]
+    # groups too small for a step between ranks are enclosed whole
+    whole = F.transform("_w", lambda w: F.struct(w["i"].alias("i"), F.when(F.col("_n") < accuracy, F.col("_low")).otherwise(w["a"]).alias("a"), F.when(F.col("_n") < accuracy, F.col("_high")).otherwise(w["b"]).alias("b"), w["at"].alias("at")))
+    brackets = sketch.select(*by, "_n", "_low", "_high", F.array(*wanted).alias("_w")).select(*by, whole.alias("_w"))
+    held = rows.join(brackets, by)
+    below = held.groupBy(*by).agg(F.array(*(F.sum((F.col("_v") < F.col("_w")[i]["a"]).cast("long")) for i in range(len(points)))).alias("_below"))
+    near = held.select(*by, "_v", F.explode(F.filter("_w", lambda w: (F.col("_v") >= w["a"]) & (F.col("_v") <= w["b"]))).alias("w"))
+    near = near.groupBy(*by, F.col("w.i").alias("i"), F.col("w.at").alias("at"), "_v").agg(F.count(F.lit(1)).alias("c"))
+    near = near.withColumn("to", F.sum("c").over(Window.partitionBy(*by, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.join(below, by).withColumn("to", F.col("to") + F.col("_below")[F.col("i")])
+    has = lambda rank: (rank < F.col("to")) & (rank >= F.col("to") - F.col("c"))
+    low, part = F.floor("at"), F.col("at") - F.floor("at")
+    weight = F.when(has(low), 1 - part).otherwise(0.0) + F.when((part > 0) & has(low + 1), part).otherwise(0.0)
+    found = near.groupBy(*by, "i").agg(F.sum(F.col("_v") * weight).alias("x"), F.sum(weight).alias("_w"))
+    missed = F.raise_error(F.lit("a bracket misses its percentile: lower the accuracy"))  # a wrong sketch must not pass as a result
+    found = found.withColumn("x", F.when(F.abs(F.col("_w") - 1) < 1e-9, F.col("x")).otherwise(missed.cast("double")))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("i") == i, F.col("x"))).alias(name) for i, (name, _) in enumerate(points)))
+
+
 def _class_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     return df.where(finite(v)).groupBy(*by, v.cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))

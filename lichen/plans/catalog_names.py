@@ -206,6 +206,11 @@ def phrase_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.phrase(F.col("c_acctbal"), [(0, "none"), (2500, "low"), (7500, "middling")], "high").alias("phrase"))
 
 
+@query(_rolled_sql("ratio") + " SELECT taxon_key, " + ", ".join(f'fix(quantile_cont(ratio, {p}), 6) AS "{n}"' for n, p in stats.POINTS) + " FROM f GROUP BY 1")
+def percentiles_by_selection(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.percentiles(_rolled(spark, d, "ratio"), ["taxon_key"], "ratio"))
+
+
 # incremental state
 
 

@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,18 @@ def test_lookups(spark):
     assert rows(stats.sample_counts(t, totals), "taxon_key", "n") == [("a", 2), ("b", 1), ("c", 4)]
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_percentiles_by_selection(spark, accuracy):
+    r = np.random.default_rng(3)
+    groups = {"skew": r.lognormal(0, 3, 4001), "ties": r.integers(0, 4, 3000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "same": np.zeros(500)}
+    data = [(g, float(x)) for g, v in groups.items() for x in v] + [("none", None), ("none", float("nan"))]
+    points = (("min", 0.0), ("p0.1", 0.001), *stats.POINTS, ("max", 1.0))
+    got = {x["g"]: x for x in stats.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", points, accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert [got[g][n] for n, _ in points] == pytest.approx([np.percentile(v, 100 * p) for _, p in points]), g
+
+
 def test_new_queries_agree_with_sql(spark):
     import duckdb
 
