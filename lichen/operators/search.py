@@ -44,3 +44,16 @@ def fuzzy_top(names: DataFrame, query: str, n: int = 20) -> DataFrame:
     best = rows.withColumn("score", score("_n")).where(F.col("score") >= (70 if len(tokens) == 1 else 60))
     each = best.groupBy("taxon_key").agg(F.max_by("name", F.struct("score", F.col("name"))).alias("name"), F.max("score").alias("score"))
     return each.orderBy(F.desc("score"), "taxon_key").limit(n)
+
+
+def text_page(names: DataFrame, query: str, offset: int, limit: int) -> DataFrame:
+    """A page of taxa in the order of their score."""
+    found = fuzzy_top(names, query, offset + limit)
+    return found.orderBy(F.desc("score"), "taxon_key").offset(offset).limit(limit)
+
+
+def ranked_text_page(names: DataFrame, values: DataFrame, query: str, offset: int, limit: int, descending: bool = False) -> DataFrame:
+    """A page of the taxa found, ordered by a metric's value; they have no position, as they are no population."""
+    order = F.desc("value") if descending else F.asc("value")
+    found = fuzzy_top(names, query, max(25 * limit, 100))
+    return values.join(F.broadcast(found.select("taxon_key")), "taxon_key").orderBy(order, "taxon_key").offset(offset).limit(limit)

@@ -196,3 +196,20 @@ def composition(*parts: Column) -> list[Column]:
     """Shares of the parts' sum; null where it isn't positive."""
     total = sum(parts[1:], parts[0])
     return [F.when(total > 0, p / total) for p in parts]
+
+
+def sample(df: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
+    """A uniform sample of at most n rows a group: those whose key's hash comes first, so reruns and merges agree. Each of
+    64 parts of a group gives its first n, then those meet."""
+    order = [F.xxhash64(F.col(key), F.lit("sample")), F.col(key)]
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64)))
+    part = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order))).where(F.col("_r") <= n)
+    return part.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_s")
+
+
+def curve_entropy(points: Column, density: Column) -> Column:
+    """Minus the integral of f ln f over a curve, by trapezoids; places where f is 0 count as 0."""
+    g = F.transform(density, lambda f: F.when(f > 0, f * F.ln(f)).otherwise(0.0))
+    step = F.zip_with(F.slice(points, F.lit(2), F.size(points) - 1), F.slice(points, F.lit(1), F.size(points) - 1), lambda b, a: b - a)
+    mean = F.zip_with(F.slice(g, F.lit(2), F.size(g) - 1), F.slice(g, F.lit(1), F.size(g) - 1), lambda b, a: (a + b) / 2)
+    return F.when(F.size(points) > 1, -F.aggregate(F.zip_with(step, mean, lambda s, m: s * m), F.lit(0.0), lambda a, x: a + x))
