@@ -15,6 +15,11 @@ from lichen.llm._shared import ship, stored
 from lichen.llm._tokens import word_path
 
 
+def _quoted(docs: DataFrame) -> list[str]:
+    """The columns of docs, whatever their names hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under a half stay; a model is learned from the labelled ones of these documents."""
     ship(spark)
@@ -25,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat go; n_chars follows the text."""
     ship(spark)
-    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    out = line_dedup.dedup_lines(docs).select(_quoted(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -33,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component of near-duplicates stays, the one with the smallest doc_id."""
     ship(spark)
     gone = stored(minhash_dedup.near_duplicates(docs), "near").where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti").select(_quoted(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

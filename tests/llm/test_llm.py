@@ -16,7 +16,7 @@ from lichen.llm._tokens import WordIds, word_path  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: columns whose names the operators use inside
-CLASH = ["key", "h", "rank", "row", "size", "n", "component", "_row", "_text", "part", "sid", "u", "v", "c0"]
+CLASH = ["key", "h", "rank", "row", "size", "n", "component", "_row", "_text", "part", "sid", "u", "v", "c0", "_gone", "lost", "id", "k1", "a.b"]
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "this is a rather long shared line that many documents hold"
 
@@ -365,3 +365,16 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert {31, 32} & {r["doc_id"] for r in kept[2].collect()} == set() and comp[31] == 30
     assert Counter(r["doc_id"] for r in kept[4].where("piece = 0").collect()) == Counter(r["doc_id"] for r in kept[3].collect())
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, kept[4].select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_stages_keep_clashing_columns(spark, docs, empty, tmp_path):
+    """Stages take further columns, whatever their names, and empty tables, and return what they got."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0
+        assert f(spark, empty, str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[4][1]
+    assert last(spark, docs, str(tmp_path)).where("piece = 0").count() == docs.count() and last(spark, empty, str(tmp_path)).count() == 0
