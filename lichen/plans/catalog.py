@@ -614,7 +614,7 @@ def von_mises_entropy(spark: SparkSession, d: str) -> DataFrame:
 
     def run(frames):  # noqa: ANN001, ANN202
         for f in frames:
-            yield f.assign(entropy=f["rbar"].map(stats.von_mises_entropy))
+            yield f.assign(entropy=stats.von_mises_entropies(f["rbar"].to_numpy()))
 
     return c.select("taxon_key", "rbar").mapInPandas(run, "taxon_key string, rbar double, entropy double")
 

@@ -74,6 +74,10 @@ def test_statistics(spark):
     h = [(r["bin"], r["n"]) for r in stats.histogram(df.where("g = 'k'"), ["g"], "v").orderBy("bin").collect()]
     assert h == [(1, 1), (2, 2), (3, 0), (4, 0), (5, 0), (6, 0), (7, 1)]
     assert stats.von_mises_entropy(0) == pytest.approx(math.log(2 * math.pi)) and stats.von_mises_entropy(1) == -math.inf
+    lengths = np.array([0.0, 1e-6, 0.01, 0.3, 0.7, 0.9, 0.99, 0.998, 0.99899, 0.9991, 0.99999, 1 - 1e-8])
+    many = stats.von_mises_entropies(lengths)
+    assert np.all(np.diff(many) < 1e-9) and many == pytest.approx([stats.von_mises_entropy(r) for r in lengths])
+    assert many[-1] == pytest.approx(0.5 * math.log(2 * math.pi * math.e * 2e-8), abs=1e-6)  # nearly normal: variance 2 (1 - r)
     a = np.linspace(-np.pi, np.pi, 20_001)
     f = np.exp(1.5 * np.cos(a))
     f /= np.trapezoid(f, a)
@@ -119,7 +123,12 @@ def test_windows_and_streams(spark, tmp_path):
     one.where("hour(ts) = 4").withColumns({"value": F.lit(5.0), "source_rank": F.lit(1)}).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     state = {x["hour"]: x["sum"] for x in windows.current(spark.read.parquet(f"{tmp_path}/out")).collect()}
-    assert [state[h] for h in range(2, 8)] == [3, 3, 7, 7, 7, 3]
+    assert [state[h] for h in range(2, 8)] == [3, 3, 7, 7, 7, 3] and len(state) == 10
+    late = one.where("hour(ts) = 9").withColumns({"ts": F.expr("ts + INTERVAL 72 HOUR"), "value": F.lit(2.0)})
+    late.write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    state = {x["hour"]: x["sum"] for x in windows.current(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert state[81] == 2 and [state[h] for h in range(2, 8)] == [3, 3, 7, 7, 7, 3] and len(state) == 11
     assert windows.sliding(one, 3).where("n = 3 AND sum = 3").count() == 8
 
 
