@@ -24,19 +24,41 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
 
 
-def continuous(df: DataFrame, by: list[str], value: str, key: str = "catalog_number") -> DataFrame:
-    """count, unique_samples, min, percentiles, max, mean, sample std, variance, iqr, 10_90_range and range; exact."""
+def scanned_bytes(df: DataFrame) -> int:
+    """The size of the tables that a query reads, as the planner knows it before any join; no job is run."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
+
+def continuous(df: DataFrame, by: list[str], value: str, key: str = "catalog_number", in_memory: int = 256 << 20) -> DataFrame:
+    """count, unique_samples, min, percentiles, max, mean, sample std, variance, iqr, 10_90_range and range; exact.
+
+    Percentiles of a group are taken in one task's memory while the tables read are smaller than ``in_memory`` bytes, and
+    by ``percentiles`` beyond; the result is the same."""
     v = F.col(value).cast("double")
-    agg = df.where(finite(v)).groupBy(*by).agg(
+    agg = [
         F.count(F.lit(1)).alias("count"),
         F.count_distinct(key).alias("unique_samples") if key else F.count(F.lit(1)).alias("unique_samples"),
         F.min(v).alias("min"),
-        F.percentile(v, [p for _, p in POINTS]).alias("_p"),
         F.max(v).alias("max"),
         F.mean(v).alias("mean"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
-    )
-    return _spread(agg)
+    ]
+    groups = df.where(finite(v)).groupBy(*by)
+    if scanned_bytes(df) < in_memory:
+        return _spread(groups.agg(*agg, F.percentile(v, [p for _, p in POINTS]).alias("_p")))
+    ordered = percentiles(df, by, value)
+    found = ordered.select(*by, F.array(*(F.col(name) for name, _ in POINTS)).alias("_p"))
+    return _spread(_same(groups.agg(*agg), found, by))
+
+
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a with the columns of b of the same group; a null in ``by`` is a group like others."""
+    b = b.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(c for c in b.columns if c not in by))
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return a.join(b, on).drop(*(f"_by_{c}" for c in by))
 
 
 def _spread(agg: DataFrame) -> DataFrame:
@@ -53,7 +75,7 @@ def continuous_sketch(df: DataFrame, by: list[str], value: str, accuracy: int =
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: tuple[tuple[str, float], ...] = POINTS, accuracy: int = 10_000) -> DataFrame:
-    """Exact percentiles by linear interpolation of groups of any size; the columns of ``by`` hold no null.
+    """Exact percentiles by linear interpolation of groups of any size.
 
     A sketch's rank is off by less than n / accuracy, so the values at two such steps on either side enclose those wanted.
     What lies below is counted by partial sums; what lies within is counted by value, which spreads a hot group over
@@ -70,12 +92,12 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: tuple[tuple[st
     # groups too small for a step between ranks are enclosed whole
     whole = F.transform("_w", lambda w: F.struct(w["i"].alias("i"), F.when(F.col("_n") < accuracy, F.col("_low")).otherwise(w["a"]).alias("a"), F.when(F.col("_n") < accuracy, F.col("_high")).otherwise(w["b"]).alias("b"), w["at"].alias("at")))
     brackets = sketch.select(*by, "_n", "_low", "_high", F.array(*wanted).alias("_w")).select(*by, whole.alias("_w"))
-    held = rows.join(brackets, by)
+    held = _same(rows, brackets, by)
     below = held.groupBy(*by).agg(F.array(*(F.sum((F.col("_v") < F.col("_w")[i]["a"]).cast("long")) for i in range(len(points)))).alias("_below"))
     near = held.select(*by, "_v", F.explode(F.filter("_w", lambda w: (F.col("_v") >= w["a"]) & (F.col("_v") <= w["b"]))).alias("w"))
     near = near.groupBy(*by, F.col("w.i").alias("i"), F.col("w.at").alias("at"), "_v").agg(F.count(F.lit(1)).alias("c"))
     near = near.withColumn("to", F.sum("c").over(Window.partitionBy(*by, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.join(below, by).withColumn("to", F.col("to") + F.col("_below")[F.col("i")])
+    near = _same(near, below, by).withColumn("to", F.col("to") + F.col("_below")[F.col("i")])
     has = lambda rank: (rank < F.col("to")) & (rank >= F.col("to") - F.col("c"))
     low, part = F.floor("at"), F.col("at") - F.floor("at")
     weight = F.when(has(low), 1 - part).otherwise(0.0) + F.when((part > 0) & has(low + 1), part).otherwise(0.0)

@@ -101,6 +101,7 @@ def test_lookups(spark):
 def test_percentiles_by_selection(spark, accuracy):
     r = np.random.default_rng(3)
     groups = {"skew": r.lognormal(0, 3, 4001), "ties": r.integers(0, 4, 3000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "same": np.zeros(500)}
+    groups[None] = r.normal(0, 1, 50)
     data = [(g, float(x)) for g, v in groups.items() for x in v] + [("none", None), ("none", float("nan"))]
     points = (("min", 0.0), ("p0.1", 0.001), *stats.POINTS, ("max", 1.0))
     got = {x["g"]: x for x in stats.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", points, accuracy).collect()}
@@ -109,6 +110,16 @@ def test_percentiles_by_selection(spark, accuracy):
         assert [got[g][n] for n, _ in points] == pytest.approx([np.percentile(v, 100 * p) for _, p in points]), g
 
 
+def test_summaries_agree_at_any_size(spark, tmp_path):
+    r = np.random.default_rng(4)
+    spark.createDataFrame([(f"g{i % 3}" if i % 7 else None, i % 90, float(x)) for i, x in enumerate(r.normal(0, 9, 2000))], "g string, catalog_number int, v double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert 0 < stats.scanned_bytes(df) < 1 << 20
+    small, large = (sorted(map(tuple, stats.continuous(df, ["g"], "v", in_memory=m).select("g", "count", "unique_samples", "median", "iqr", "std").collect()), key=repr) for m in (1 << 30, 0))
+    assert len(small) == 4 and [x[:3] for x in small] == [x[:3] for x in large]
+    assert np.allclose([x[3:] for x in small], [x[3:] for x in large])
+
+
 def test_new_queries_agree_with_sql(spark):
     import duckdb
 
