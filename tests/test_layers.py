@@ -89,3 +89,18 @@ def test_written_tables(spark, tmp_path):
     a, b = spark.createDataFrame([("1", None)], "taxon_key string, mode string"), spark.createDataFrame([("2", 1.0)], "taxon_key string, n double")
     sinks.summaries({"numerical": [a, b]}, str(tmp_path / "s"), 1)
     assert dict(spark.read.parquet(str(tmp_path / "s/numerical")).dtypes)["mode"] == "double"
+
+
+def test_sentences(spark):
+    from lichen.functions import sentences
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    words = lambda *x: F.array(*map(F.lit, x)) if x else F.expr("cast(array() as array<string>)")
+    assert [one(sentences.listed(words(*x))) for x in ((), ("a",), ("a", "b"), ("a", "b", "c"))] == [None, "a", "a and b", "a, b and c"]
+    c = F.array(F.struct(F.lit("dune").alias("name"), F.lit(0.505).alias("fraction")))
+    assert one(sentences.shares(c, F.lit(2))) == "Found mostly in dune (51 %), and 2 more."
+    import colorsys
+
+    rgb = spark.range(40).select("id", *(v.alias(k) for k, v in sentences.fallback_rgb(F.col("id").cast("int")).items())).collect()
+    for r in rgb:
+        assert tuple(r[1:]) == pytest.approx([int(x * 255) for x in colorsys.hsv_to_rgb(r[0] * 137 % 360 / 360, 0.65, 0.92)], abs=1)
