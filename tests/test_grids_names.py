@@ -139,3 +139,12 @@ def test_new_queries_agree_with_sql(spark):
         cell = lambda v: float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v
         pick = lambda found, have: sorted((tuple(cell(r[have.index(n)]) for n in names) for r in found), key=repr)
         assert pick(map(tuple, got.collect()), got.columns) == pick(want.fetchall(), want.columns), name
+
+
+def test_sketch_is_near(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, 20_000)
+    got = stats.continuous_sketch(spark.createDataFrame([("a", float(v)) for v in x], "g string, v double"), ["g"], "v").first()
+    for name, p in stats.POINTS:
+        assert abs((x < got[name]).mean() - p) < 2e-3, name
+    assert got["std"] == pytest.approx(x.std(ddof=1)) and got["count"] == len(x)
