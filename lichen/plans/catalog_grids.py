@@ -194,5 +194,5 @@ def tile_bounds(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_HOURLY}, o AS (SELECT o_orderkey, o_orderkey % 20 AS cell, CAST(473352 + o_orderkey * 17 % 720 AS BIGINT) AS hour FROM orders WHERE o_orderkey % 10 = 0)
 SELECT o_orderkey, fix(sum(value), 4) AS sum, count(value) AS n FROM o LEFT JOIN hourly h ON o.cell = h.cell AND h.hour BETWEEN o.hour - 23 AND o.hour GROUP BY 1""")
 def cell_series_join(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_orderkey") % 20).alias("cell"), (473352 + F.col("o_orderkey") * 17 % 720).cast("long").alias("hour"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 20).alias("cell"), (473352 + F.col("o_orderkey") * 17 % 720).cast("long").alias("hour"))
     return rounded(timeseries.at_observations(o, hourly(spark, d), 24, "o_orderkey"), 4)
