@@ -100,21 +100,29 @@ def dense_cells(places: DataFrame, n: int = 15) -> DataFrame:
 def isolated(places: DataFrame, kilometres: float = 150.0) -> DataFrame:
     """Places without another of at least their population within the distance.
 
-    Neighbours are looked for in cells of the distance's size in three dimensions, the own and the 26 around it. A place
-    needs only the largest other place nearby, so cells first keep what can decide: the places of a cell are compared
-    with each other only where they meet, by an equal join on the cell.
+    Two places in a cube of half the distance are always near enough, so of each cube only its largest place is left to
+    look further; that is a row a cube, or none. Those look for neighbours in cells of the distance's size, the own and the
+    26 around it, by an equal join: a place meets at most eight names from each, however dense the cells are.
     """
     radius = 6371.0
     lat, lon = F.radians("lat"), F.radians("lon")
-    p = places.withColumns({"_x": F.cos(lat) * F.cos(lon) * radius, "_y": F.cos(lat) * F.sin(lon) * radius, "_z": F.sin(lat) * radius})
-    cell = lambda d, *shift: [(F.floor(F.col(c) / kilometres) + s).alias(n) for c, n, s in zip(("_x", "_y", "_z"), ("_i", "_j", "_k"), shift, strict=True)]
-    own = p.select("place", "population", "_x", "_y", "_z", *cell(p, 0, 0, 0))
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
-    near = p.select(F.col("place").alias("other"), F.col("population").alias("pop2"), F.col("_x").alias("x2"), F.col("_y").alias("y2"), F.col("_z").alias("z2"), around.alias("s"))
-    near = near.select("other", "pop2", "x2", "y2", "z2", *((F.floor(F.col(c) / kilometres) + F.col(f"s.{s}")).alias(n) for c, n, s in (("x2", "_i", "a"), ("y2", "_j", "b"), ("z2", "_k", "c"))))
+    p = places.select("place", "population", (F.cos(lat) * F.cos(lon) * radius).alias("_x"), (F.cos(lat) * F.sin(lon) * radius).alias("_y"), (F.sin(lat) * radius).alias("_z"))
+    # places without a position are near none
+    p = p.where(" AND ".join(f"NOT isnan({c}) AND {c} IS NOT NULL" for c in ("_x", "_y", "_z")) + " AND population IS NOT NULL")
+    cell = lambda size, names: [F.floor(F.col(c) / size).alias(n) for c, n in zip(("_x", "_y", "_z"), names, strict=True)]
+    cube, block = ["_a", "_b", "_c"], ["_i", "_j", "_k"]
+    p = p.select("*", *cell(kilometres / 2, cube))
+    # the names of a cube's largest places, the first and the last: others of the cube are beaten, and those too if there are two
+    each = p.groupBy(*cube, "population").agg(F.min("place").alias("_first"), F.max("place").alias("_last"))
+    top = each.groupBy(*cube).agg(F.max_by(F.struct("_first", "_last"), "population").alias("_t")).select(*cube, "_t.*")
+    p = p.join(top, cube).withColumn("_beaten", (F.col("place") != F.col("_first")) | (F.col("place") != F.col("_last")))
+    around = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip((a, b, c), block, strict=True))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
+    left = p.where("NOT _beaten").select("place", "population", "_x", "_y", "_z", *cell(kilometres, ["i", "j", "k"]), around.alias("s"))
+    left = left.select("place", "population", "_x", "_y", "_z", *((F.col(n) + F.col(f"s.{b}")).alias(b) for n, b in zip("ijk", block, strict=True)))
+    near = p.select(F.col("place").alias("other"), F.col("population").alias("pop2"), F.col("_x").alias("x2"), F.col("_y").alias("y2"), F.col("_z").alias("z2"), *cell(kilometres, block))
     apart = (F.col("_x") - F.col("x2")) ** 2 + (F.col("_y") - F.col("y2")) ** 2 + (F.col("_z") - F.col("z2")) ** 2
-    beaten = own.join(near, ["_i", "_j", "_k"]).where((F.col("place") != F.col("other")) & (F.col("pop2") >= F.col("population")) & (apart <= kilometres**2)).select("place").distinct()
-    return places.join(beaten, "place", "left_anti")
+    beaten = left.join(near, block).where((F.col("place") != F.col("other")) & (F.col("pop2") >= F.col("population")) & (apart <= kilometres**2)).select("place")
+    return places.join(p.where("_beaten").select("place").unionByName(beaten).distinct(), "place", "left_anti")
 
 
 def bundle(fractions: DataFrame, by_fraction: list[str]) -> DataFrame:

@@ -566,7 +566,7 @@ def evidence_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_OBS}, p AS (SELECT 'p' || catalog_number AS place, lat, lon, ratio AS population FROM obs WHERE catalog_number % 5 = 0), c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) * 6371e0 AS x, cos(radians(lat)) * sin(radians(lon)) * 6371e0 AS y, sin(radians(lat)) * 6371e0 AS z FROM p) SELECT place FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.place <> b.place AND b.population >= a.population AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 22500e0)")
 def isolated_places(spark: SparkSession, d: str) -> DataFrame:
-    p = observations(spark, d).where(F.col("catalog_number") % 5 == 0).select(F.concat(F.lit("p"), "catalog_number").alias("place"), "lat", "lon", F.col("ratio").alias("population"))
+    p = observations(spark, d).select(F.concat(F.lit("p"), "catalog_number").alias("place"), "lat", "lon", F.col("ratio").alias("population"))
     return ranking.isolated(p).select("place")
 
 

@@ -1,12 +1,15 @@
 """Queries over whole tables against SQL without a filter on ids, or brute force; the registered SQL of some keeps one."""
 
+import math
 from pathlib import Path
 
+import numpy as np
 import pytest
 
+from lichen.operators import ranking
 from lichen.plans import CATALOG
 from lichen.plans.catalog import _spelled
-from lichen.sources.tables import SQL_HOURLY
+from lichen.sources.tables import SQL_HOURLY, SQL_OBS
 
 
 def agree(spark, name, sql, sf="sf0.001"):
@@ -32,3 +35,22 @@ def test_cell_series_join_takes_every_order(spark):
     sql = f"""WITH {SQL_HOURLY}, o AS (SELECT o_orderkey, o_orderkey % 20 AS cell, CAST(473352 + o_orderkey * 17 % 720 AS BIGINT) AS hour FROM orders)
     SELECT o_orderkey, fix(sum(value), 4) AS sum, count(value) AS n FROM o LEFT JOIN hourly h ON o.cell = h.cell AND h.hour BETWEEN o.hour - 23 AND o.hour GROUP BY 1"""
     assert len(agree(spark, "cell_series_join", sql)) == 1500
+
+
+def test_isolated_places_takes_every_place(spark):
+    sql = f"""WITH {SQL_OBS}, p AS (SELECT 'p' || catalog_number AS place, lat, lon, ratio AS population FROM obs), c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) * 6371e0 AS x, cos(radians(lat)) * sin(radians(lon)) * 6371e0 AS y, sin(radians(lat)) * 6371e0 AS z FROM p)
+    SELECT place FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.place <> b.place AND b.population >= a.population AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 22500e0)"""
+    found = agree(spark, "isolated_places", sql)
+    assert any(int(p[1:]) % 5 for (p,) in found)
+
+
+def test_isolated_places_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    # dense, with equal populations, names that come twice, and rows without a position or a population
+    p = [(f"p{i if i % 9 else 0}", float(r.uniform(40, 56)), float(r.uniform(-5, 18)), float(r.integers(0, 300))) for i in range(900)]
+    p += [("q1", None, 1.0, 5.0), ("q2", math.nan, 1.0, 5.0), ("q3", 45.0, math.nan, 5.0), ("q4", 45.0, 5.0, None), ("q5", 45.0, 5.0, 1.0)]
+    at = [None if a is None else np.array([math.cos(math.radians(a)) * math.cos(math.radians(o)), math.cos(math.radians(a)) * math.sin(math.radians(o)), math.sin(math.radians(a))]) * 6371 for _, a, o, _ in p]
+    beaten = {x[0] for x, u in zip(p, at, strict=True) for y, v in zip(p, at, strict=True) if x[0] != y[0] and None not in (x[3], y[3]) and u is not None and v is not None and y[3] >= x[3] and ((u - v) ** 2).sum() <= 150**2}
+    got = ranking.isolated(spark.createDataFrame(p, "place string, lat double, lon double, population double"))
+    assert sorted(r["place"] for r in got.collect()) == sorted(x[0] for x in p if x[0] not in beaten)
+    assert 5 < got.count() < 100
