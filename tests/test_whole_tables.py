@@ -54,3 +54,10 @@ def test_isolated_places_by_brute_force(spark):
     got = ranking.isolated(spark.createDataFrame(p, "place string, lat double, lon double, population double"))
     assert sorted(r["place"] for r in got.collect()) == sorted(x[0] for x in p if x[0] not in beaten)
     assert 5 < got.count() < 100
+
+
+def test_point_in_region_takes_every_region(spark):
+    sql = f"""WITH {SQL_OBS}, b AS (SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS region, s_suppkey * 7 % 160 - 85e0 AS south, s_suppkey * 13 % 340 - 175e0 AS west FROM supplier)
+    SELECT catalog_number, min(b.region) AS region FROM obs LEFT JOIN b ON lat > south AND lat < south + 12 AND lon > west AND lon < west + 15 GROUP BY 1"""
+    found = agree(spark, "point_in_region", sql, "sf0.01")
+    assert any(region and region > "s000060" for _, region in found)
