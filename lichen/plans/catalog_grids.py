@@ -16,7 +16,13 @@ SQL_GRID = """grid AS (SELECT p_partkey // 40 AS "row", p_partkey % 40 AS col, p
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_partkey < 1600").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), F.col("p_retailprice").alias("value"))
+    return table(spark, d, "part").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), F.col("p_retailprice").alias("value"))
+
+
+def grid_rows(spark: SparkSession, d: str) -> tuple[int, int]:
+    """The rows of the grid of all parts, 40 at least, and those of the new grid, which has 55 for each 40."""
+    rows = max(40, (table(spark, d, "part").agg(F.max("p_partkey")).first()[0] or 0) // 40 + 1)
+    return rows, -(-rows * 55 // 40)
 
 
 def codes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,14 +71,16 @@ def regrid_average(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_GRID}, t AS (SELECT i AS "row", j AS col, least(39, CAST(floor((i + 0.5e0) * (40e0 / 55) ) AS BIGINT)) AS r0, least(39, CAST(floor((j + 0.5e0) * (40e0 / 55)) AS BIGINT)) AS c0 FROM range(55) a(i), range(55) b(j))
 SELECT t."row", t.col, fix(value, 4) AS value FROM t LEFT JOIN grid g ON t.r0 = g."row" AND t.c0 = g.col""")
 def regrid_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rasters.regrid_nearest(grid(spark, d), 40, 40, 55, 55), 4)
+    rows, new_rows = grid_rows(spark, d)
+    return rounded(rasters.regrid_nearest(grid(spark, d), rows, 40, new_rows, 55), 4)
 
 
 @query(f"""WITH {SQL_GRID}, t AS (SELECT i AS "row", j AS col, greatest(0e0, least((i + 0.5e0) * (40e0 / 55) - 0.5e0, 39e0)) AS y, greatest(0e0, least((j + 0.5e0) * (40e0 / 55) - 0.5e0, 39e0)) AS x FROM range(55) a(i), range(55) b(j)),
 w AS (SELECT t."row", t.col, greatest(0e0, 1 - abs(y - g."row")) * greatest(0e0, 1 - abs(x - g.col)) AS w, value FROM t JOIN grid g ON abs(y - g."row") < 1 AND abs(x - g.col) < 1)
 SELECT "row", col, fix(sum(w * value) / sum(w), 4) AS value FROM w GROUP BY ALL""")
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rasters.regrid_bilinear(grid(spark, d), 40, 40, 55, 55), 4)
+    rows, new_rows = grid_rows(spark, d)
+    return rounded(rasters.regrid_bilinear(grid(spark, d), rows, 40, new_rows, 55), 4)
 
 
 @query("SELECT p_partkey, fix(CASE WHEN p_size = 7 THEN NULL ELSE p_size * 0.1e0 + 2 END, 6) AS scaled, fix(CASE WHEN p_size = 7 THEN 0 ELSE p_size * 0.1e0 + 2 END, 6) AS filled FROM part")

@@ -61,3 +61,20 @@ def test_point_in_region_takes_every_region(spark):
     SELECT catalog_number, min(b.region) AS region FROM obs LEFT JOIN b ON lat > south AND lat < south + 12 AND lon > west AND lon < west + 15 GROUP BY 1"""
     found = agree(spark, "point_in_region", sql, "sf0.01")
     assert any(region and region > "s000060" for _, region in found)
+
+
+def test_regrids_take_every_part(spark):
+    # 2,000 parts: 50 rows of 40; the new grid has 69 of 55
+    grid = """WITH grid AS (SELECT p_partkey // 40 AS "row", p_partkey % 40 AS col, p_retailprice AS value FROM part), n AS (SELECT greatest(40, max(p_partkey) // 40 + 1) AS h, CAST(ceil(h * 55e0 / 40) AS BIGINT) AS h2 FROM part),
+    t AS (SELECT i AS "row", j AS col, h, (i + 0.5e0) * (h / CAST(h2 AS DOUBLE)) AS y, (j + 0.5e0) * (40e0 / 55) AS x FROM n, range(100) a(i), range(55) b(j) WHERE i < h2)"""
+    found = agree(spark, "regrid_average", grid + ' SELECT "row" // 2 AS "row", col // 2 AS col, fix(avg(value), 4) AS value FROM grid GROUP BY ALL', "sf0.01")
+    assert len(found) == 500
+    near = grid + """ SELECT t."row", t.col, fix(value, 4) AS value FROM t LEFT JOIN grid g ON least(h - 1, CAST(floor(y) AS BIGINT)) = g."row" AND least(39, CAST(floor(x) AS BIGINT)) = g.col"""
+    assert len(agree(spark, "regrid_nearest", near, "sf0.01")) == 69 * 55
+    smooth = grid + """, c AS (SELECT "row", col, greatest(0e0, least(y - 0.5e0, h - 1e0)) AS y, greatest(0e0, least(x - 0.5e0, 39e0)) AS x FROM t),
+    w AS (SELECT c."row", c.col, greatest(0e0, 1 - abs(y - g."row")) * greatest(0e0, 1 - abs(x - g.col)) AS w, value FROM c JOIN grid g ON abs(y - g."row") < 1 AND abs(x - g.col) < 1)
+    SELECT "row", col, fix(sum(w * value) / sum(w), 4) AS value FROM w GROUP BY ALL"""
+    assert len(agree(spark, "regrid_bilinear", smooth, "sf0.01")) == 69 * 55
+    # where all parts fit in 40 rows, the grid is the one it was
+    for name in ("regrid_average", "regrid_nearest", "regrid_bilinear"):
+        agree(spark, name, CATALOG[name][1])
