@@ -522,7 +522,7 @@ def title_case(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH idx AS (SELECT lower(p_name) AS name, count(DISTINCT p_brand) AS k, min(p_brand) AS brand FROM part WHERE p_partkey % 40 = 0 GROUP BY 1) SELECT p_partkey, brand FROM part JOIN idx ON lower(p_name) = idx.name WHERE k = 1")
 def name_match_unique(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    index = p.where(F.col("p_partkey") % 40 == 0).groupBy(text.matching(F.col("p_name")).alias("name")).agg(F.count_distinct("p_brand").alias("k"), F.min("p_brand").alias("brand")).where("k = 1")
+    index = p.groupBy(text.matching(F.col("p_name")).alias("name")).agg(F.count_distinct("p_brand").alias("k"), F.min("p_brand").alias("brand")).where("k = 1")
     return p.withColumn("name", text.matching(F.col("p_name"))).join(index, "name").select("p_partkey", "brand")
 
 

@@ -78,3 +78,11 @@ def test_regrids_take_every_part(spark):
     # where all parts fit in 40 rows, the grid is the one it was
     for name in ("regrid_average", "regrid_nearest", "regrid_bilinear"):
         agree(spark, name, CATALOG[name][1])
+
+
+def test_names_index_and_resolve_every_part(spark):
+    unique = "WITH idx AS (SELECT lower(p_name) AS name, count(DISTINCT p_brand) AS k, min(p_brand) AS brand FROM part GROUP BY 1) SELECT p_partkey, brand FROM part JOIN idx ON lower(p_name) = idx.name WHERE k = 1"
+    assert agree(spark, "name_match_unique", unique)
+    assert agree(spark, "name_match_unique", unique, "sf0.01") == []  # each name has several brands there
+    synonyms = "SELECT a.p_partkey AS taxon_key, count(DISTINCT b.p_partkey) AS n, min(b.p_partkey) AS first FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey GROUP BY 1"
+    assert len(agree(spark, "synonym_ids", synonyms, "sf0.01")) == 2000
