@@ -3,7 +3,8 @@
 Three base patterns are matched leftmost and without overlaps; the text between matches and the matches themselves give
 their places as running sums of lengths. Further spans come from two character Markov models, one of random
 strings and one of ordinary identifiers, trained from labelled samples: a run of key characters is a secret when the
-log-likelihood ratio of its transitions is high enough in total and a step. The trained table of log-ratios is a
+log-likelihood ratio of its transitions is high enough in total and a step. Base spans are cut out of a run first, and each
+piece of 16 characters or more that is left counts as a run. The trained table of log-ratios is a
 literal in the plan, so scoring stays in the JVM.
 
 Defined cases: null text is empty; an empty text has no spans, and the digest of nothing; a null doc_id stays null; rows
@@ -29,6 +30,7 @@ KEYLIKE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "model")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_TOTAL, LEAST_STEP = 12.0, 0.5
+NONE = "cast(array() as array<struct<start:int,order:int,end:int>>)"
 
 
 def samples(seed: int = 7, n: int = 4000) -> list[tuple[str, bool]]:
@@ -74,7 +76,7 @@ def _places(text: Column, pattern: str, kind: str, value: int, least: int) -> Co
     p = F.lit(pattern)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("all"), F.regexp_extract_all(text, p, F.lit(value)).alias("own"))
     span = lambda start, x: F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), (start + F.length(x["all"])).alias("end")))
-    none = F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")
+    none = F.expr(NONE)
     walk = F.aggregate(
         found,
         F.struct(F.lit(0).alias("at"), none.alias("out")),
@@ -87,6 +89,19 @@ def _places(text: Column, pattern: str, kind: str, value: int, least: int) -> Co
     return F.when(F.rlike(text, p), walk).otherwise(none)
 
 
+def _outside(run: Column) -> Column:
+    """The pieces of a run between the base spans, those of 16 characters or more."""
+    piece = lambda start, end: F.when(end - start >= 16, F.array(F.struct(start.alias("start"), run["order"].alias("order"), end.alias("end")))).otherwise(F.expr(NONE))
+    within = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    cut = F.aggregate(
+        within,
+        F.struct(run["start"].alias("at"), F.expr(NONE).alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out")),
+        lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])),
+    )
+    return F.when(F.size(within) > 0, cut).otherwise(F.array(run))
+
+
 def _ratio(run: Column, table: Column, code: Column) -> Column:
     """The log-likelihood ratio of a run of key characters."""
     codes = F.transform(F.split(run, ""), lambda c: F.element_at(code, F.ascii(c) + 1))
@@ -102,7 +117,7 @@ def find_secrets(docs: DataFrame, labelled: Iterable[tuple[str, bool]] | None =
     text = F.col("text")
     base = F.concat(_places(text, ASSIGN, "assign", 2, 6), _places(text, ACCESS, "access", 0, 20), _places(text, HEX, "hex", 0, 24))
     d = plain(docs).withColumn("base", F.array_sort(base)).withColumn("runs", _places(text, KEYLIKE, "model", 0, 16))
-    free = F.filter("runs", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.flatten(F.transform("runs", _outside))
     steps = lambda m: m["end"] - m["start"] - 1
 
     def secret(m: Column) -> Column:
