@@ -25,10 +25,10 @@ def _begins(token: str) -> Callable[[Column], Column]:
     return lambda x: x.startswith(token)
 
 
-def fuzzy_top(names: DataFrame, query: str, n: int = 20) -> DataFrame:
+def fuzzy_top(names: DataFrame, query: str, n: int | None = 20) -> DataFrame:
     """(taxon_key, name, score): the best name of each key. Every token of the query must begin some token of the name, which
     plain expressions test first, so that only those reach Python; 20 more for the same name, 2 less for each extra
-    token, and a floor of 70 (60 for several tokens)."""
+    token, and a floor of 70 (60 for several tokens). Without n all of them, in no order."""
     q = " ".join(query.lower().replace("_", " ").split())
     tokens = q.split()
     if not tokens:
@@ -43,7 +43,7 @@ def fuzzy_top(names: DataFrame, query: str, n: int = 20) -> DataFrame:
 
     best = rows.withColumn("score", score("_n")).where(F.col("score") >= (70 if len(tokens) == 1 else 60))
     each = best.groupBy("taxon_key").agg(F.max_by("name", F.struct("score", F.col("name"))).alias("name"), F.max("score").alias("score"))
-    return each.orderBy(F.desc("score"), "taxon_key").limit(n)
+    return each if n is None else each.orderBy(F.desc("score"), "taxon_key").limit(n)
 
 
 def text_page(names: DataFrame, query: str, offset: int, limit: int) -> DataFrame:
@@ -53,7 +53,6 @@ def text_page(names: DataFrame, query: str, offset: int, limit: int) -> DataFram
 
 
 def ranked_text_page(names: DataFrame, values: DataFrame, query: str, offset: int, limit: int, descending: bool = False) -> DataFrame:
-    """A page of the taxa found, ordered by a metric's value; they have no position, as they are no population."""
+    """A page of all taxa found, ordered by a metric's value; they have no position, as they are no population."""
     order = F.desc("value") if descending else F.asc("value")
-    found = fuzzy_top(names, query, max(25 * limit, 100))
-    return values.join(F.broadcast(found.select("taxon_key")), "taxon_key").orderBy(order, "taxon_key").offset(offset).limit(limit)
+    return values.join(fuzzy_top(names, query, None).select("taxon_key"), "taxon_key").orderBy(order, "taxon_key").offset(offset).limit(limit)

@@ -104,3 +104,11 @@ def test_sentences(spark):
     rgb = spark.range(40).select("id", *(v.alias(k) for k, v in sentences.fallback_rgb(F.col("id").cast("int")).items())).collect()
     for r in rgb:
         assert tuple(r[1:]) == pytest.approx([int(x * 255) for x in colorsys.hsv_to_rgb(r[0] * 137 % 360 / 360, 0.65, 0.92)], abs=1)
+
+
+def test_ranked_text_page_reaches_the_end(spark):
+    names = spark.createDataFrame([(f"t{i:03}", f"red thing{i:03}") for i in range(300)], "taxon_key string, name string")
+    values = spark.createDataFrame([(f"t{i:03}", float(i)) for i in range(300)], "taxon_key string, value double")
+    page = lambda offset, limit, descending: [r["value"] for r in search.ranked_text_page(names, values, "red", offset, limit, descending).collect()]
+    assert page(290, 5, False) == [290.0, 291.0, 292.0, 293.0, 294.0]
+    assert page(0, 2, True) == [299.0, 298.0] and page(298, 5, True) == [1.0, 0.0]
