@@ -4,7 +4,7 @@ Each source's documents stand in a shuffled order (by a hash) and form one strea
 blocks of equal size. Slot i of the schedule is the golden-ratio point frac(i * phi), mapped through the cumulative
 target weights to a source; the slot's rank among its source's slots is the block it takes. Ranks up to the source's
 quota are taken, the last one in part; a source whose points run out before its quota gets the missing slots at
-the end. So each source's words equal its target rounded, at any size, and no document passes twice its size.
+the end. ``apply`` gives the readings in the order of their slots. So each source's words equal its target rounded, at any size, and no document passes twice its size.
 
 Prefix sums (documents within a source, slots of a source) are taken in two steps over bounded blocks; a source with
 a third of all rows is never in one task. What is sorted in one task is a row per source or per block of 4096 slots.
@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def schedule(per_source: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """(sid, rank, words): the slots taken of each source and the words of its block that each takes."""
+    """(sid, rank, slot, words): the slots taken of each source, and the words of its block that each takes."""
     spark = per_source.sparkSession
     quota = per_source.select("sid", F.round("target").cast("long").alias("quota")).where("quota > 0")
     by = Window.orderBy("sid")
@@ -65,16 +65,22 @@ def schedule(per_source: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     inside = hit.withColumn("r", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1)
     before = hit.groupBy("sid", "part").agg(F.count(F.lit(1)).alias("c"))
     before = before.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = inside.join(before.drop("c"), ["sid", "part"]).select("sid", (F.col("r") + F.col("before")).alias("rank"))
+    ranked = inside.join(before.drop("c"), ["sid", "part"]).select("sid", (F.col("r") + F.col("before")).alias("rank"), "slot")
     got = hit.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
     short = quota.join(got, "sid", "left").select("sid", F.coalesce("got", F.lit(0)).alias("got"), needed.alias("needed")).where("got < needed")
-    late = short.select("sid", F.explode(F.sequence(F.col("got"), F.col("needed") - 1)).alias("rank"))
+    late = short.select("sid", F.explode(F.sequence(F.col("got"), F.col("needed") - 1)).alias("rank")).withColumn("slot", F.col("rank") + slots)
     every = ranked.unionByName(late).join(quota.select("sid", "quota"), "sid").where(F.col("rank") < needed)
-    return every.select("sid", F.col("rank").cast("long").alias("rank"), F.least(F.lit(block).cast("long"), F.col("quota") - F.col("rank") * block).alias("words"))
+    return every.select("sid", F.col("rank").cast("long").alias("rank"), "slot", F.least(F.lit(block).cast("long"), F.col("quota") - F.col("rank") * block).alias("words"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, row, size, source_size, target, taken): one row a row of docs; ``row`` tells equal ones apart if given."""
+    return placed(docs, weights, share, most, block).drop("sid", "starts")
+
+
+def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
+    """As ``mix``, with sid and starts: for each pass, the slot of the block in which that reading starts and the place of its
+    first word in the source's stream, null if it isn't read."""
     has_row = "_row" in docs.columns
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), *([F.col("_row").alias("row")] if has_row else [F.lit(0).cast("long").alias("row")]))
     d = stored(d, "sizes")
@@ -94,20 +100,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     at = stored(at.withColumn("uid", F.monotonically_increasing_id()), "places")
 
     spans = at.where("size > 0").select("uid", "sid", "o", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"))
-    spans = spans.select("uid", "sid", (F.col("o") + F.col("pass") * F.col("source_size")).alias("a"), (F.col("o") + F.col("size") + F.col("pass") * F.col("source_size")).alias("b"))
+    spans = spans.select("uid", "sid", "pass", (F.col("o") + F.col("pass") * F.col("source_size")).alias("a"), (F.col("o") + F.col("size") + F.col("pass") * F.col("source_size")).alias("b"))
     blocks = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     overlap = F.least("b", F.col("rank") * block + F.col("words")) - F.greatest("a", F.col("rank") * block)
-    taken = blocks.join(slots, ["sid", "rank"]).groupBy("uid").agg(F.sum(F.greatest(overlap, F.lit(0))).cast("long").alias("taken"))
-    return at.join(taken, "uid", "left").select("doc_id", "row", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = blocks.join(slots, ["sid", "rank"]).groupBy("uid").agg(
+        F.sum(F.greatest(overlap, F.lit(0))).cast("long").alias("taken"),
+        F.array(*(F.min(F.when((F.col("pass") == p) & (F.col("a") >= F.col("rank") * block), F.struct("slot", F.col("a").alias("word")))) for p in range(most))).alias("starts"),
+    )
+    return at.join(taken, "uid", "left").select("doc_id", "row", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "sid", "starts")
 
 
 def apply(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed corpus, with the columns of docs: a row for each reading of a document, whole but for the one document
-    of a source where its words end; texts not taken go. n_chars, if there, follows the text."""
+    of a source where its words end; texts not taken go. Rows are in the order of the schedule: a reading stands at the
+    slot of the block in which it starts. n_chars, if there, follows the text."""
     keyed = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "numbered")
     flat = keyed.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), F.col("_doc.text").alias("text"), "_row")
-    taken = mix(flat, **options).where("taken > 0").select(F.col("row").alias("_row"), "size", "taken")
+    taken = placed(flat, **options).where("taken > 0").select(F.col("row").alias("_row"), "size", "taken", "sid", "starts")
     j = keyed.join(taken, "_row").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    start = F.element_at("starts", (F.col("_pass") + 1).cast("int"))
+    j = j.orderBy(start["slot"], "sid", start["word"])
     own = F.least("size", F.col("taken") - F.col("_pass") * F.col("size"))
     # words and the white space before them; only a cut text is taken apart
     cut = F.array_join(F.slice(F.regexp_extract_all("_doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), own.cast("int")), "")

@@ -395,3 +395,22 @@ def test_secrets_beside_base_spans(spark):
     pieces = {k: [t[a:b] for a, b in added] for k, (t, _, added) in got.items()}
     assert pieces == {0: [f"/{key}"], 1: [f"_{key}"], 2: [f"{key}_", f"_{key}"], 3: [key], 4: [], 5: []}
     assert all(b <= c or d <= a for _, base, added in got.values() for a, b in base for c, d in added)
+
+
+def test_mixed_corpus_follows_the_schedule(spark):
+    # texts of a block each: a reading is a block, and the sources follow the golden ratio's points
+    n = {"a": 60, "b": 40, "c": 50}
+    docs = spark.createDataFrame([(i, s, " ".join([f"{s}{i}"] * 16)) for s in n for i in range(n[s])], "doc_id long, source string, text string")
+    quota = {"a": 1800, "b": 600, "c": 1200}  # of 1.5 * 150 * 16 words, by weights of 3, 1 and 2
+    ends = {"a": 1800 / 3600, "b": 2400 / 3600, "c": 1.0}
+    seen, want = Counter(), []
+    for i in range(225):
+        x = i * mixing.PHI - int(i * mixing.PHI)
+        s = next(s for s in n if x < ends[s])
+        if seen[s] * 16 < quota[s]:
+            want.append((s, min(16, quota[s] - 16 * seen[s])))
+        seen[s] += 1
+    late = [(225 + k, s) for s in n for k in range(seen[s], -(-quota[s] // 16))]
+    want += [(s, min(16, quota[s] - 16 * (at - 225))) for at, s in sorted(late)]
+    got = [(r["source"], len(r["text"].split())) for r in mixing.apply(docs, block=16).collect()]
+    assert got == want
