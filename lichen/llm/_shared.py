@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +14,19 @@ from pyspark.sql import types as T
 
 from lichen.sources.session import ship
 
-__all__ = ["again", "components", "plain", "reading", "shared_dir", "ship", "stored"]
+__all__ = ["again", "components", "drop", "plain", "reading", "scratch", "shared_dir", "ship", "stored"]
+
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set (tests, one machine)."""
+    """The session's spark.checkpoint.dir; where none is set, a temporary folder on one machine (tests), and an error on
+    a cluster, whose executors would not share it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="lichen-")
@@ -31,7 +39,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return reading(spark, path, df.schema)
+    out = reading(spark, path, df.schema)
+    made = _made.get()
+    if made is not None:
+        made.append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(*keep: str) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but those whose names begin with one of ``keep``."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made, outer = _made.get(), token.old_value
+        _made.reset(token)
+        kept = [t for t in made if keep and t.stored_at.rsplit("/", 1)[-1].startswith(keep)]
+        safe = {t.stored_at for t in kept}
+        drop(*(t for t in made if t.stored_at not in safe))
+        if isinstance(outer, list):
+            outer.extend(kept)
 
 
 def reading(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -72,9 +108,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        next_e = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # a node whose least neighbour isn't its only one keeps its own edge as well: the first branch has it, for v = m
-        e = stored(e.where("u <> v").distinct(), "edges")
+        next_e = stored(next_e.where("u <> v").distinct(), "edges")
+        drop(e)
+        e = next_e
         after = _state(e)
         if after == before:
             break

@@ -3,10 +3,11 @@
 Every vector belongs to the cell of its most similar centre. Links across cells are not lost: a vector also visits each
 lower-numbered cell A in which a partner can lie. A partner x in A has <x, cA - cC> >= 0 for all centres C, and is within
 the angle of the threshold; so the visitor y needs <y, cA - cC> >= -sin(angle) * |cA - cC| for all C, which is tested.
-Cells are cut into blocks and visitors into chunks; a task multiplies one block with one chunk and returns
-numbers of links and a local component, never pairs. The components of the whole are joined from those.
+Cells are cut into blocks, and the visitors of a block, if it has any, into chunks; a task multiplies one block with one chunk
+and returns numbers of links and a local component, never pairs. A block is sent once for each chunk of its own visitors.
+The components of the whole are joined from those.
 
-Equal vectors are compared once, with their number. Only the centres are learned from a sample (bounded, by hash). How many
+Equal vectors are compared once, with their number. Only the centres, at most ``CENTRES``, are learned from a sample (bounded, by hash). How many
 cells are visited depends on the data: few where vectors cluster; for unrelated directions it nears all of them, and
 the work nears that of blocked all-pairs products. It is exact in either case.
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lichen.llm._shared import again, components, stored
+from lichen.llm._shared import again, components, drop, stored
 from lichen.llm._words import Pair
 from lichen.llm.vectors import classes, matrix, vectors
 
 THRESHOLD = 0.9
-SAMPLE, ROUNDS = 8192, 12
+SAMPLE, ROUNDS, CENTRES = 8192, 12, 1024
 BLOCK, CHUNK, SLAB = 4096, 16_384, 1024
 
 
@@ -57,9 +58,12 @@ def visits(v: np.ndarray, c: np.ndarray, threshold: float) -> Pair:
     home = s.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
     slack = math.sqrt(max(0.0, 1 - threshold**2)) * apart + 1e-9
-    mask = np.empty(s.shape, bool)
-    for a in range(len(c)):
-        mask[:, a] = (a < home) & (s[:, [a]] - s >= -slack[a]).all(1)
+    # the row's own cell rules out most others; only what is left is held against all centres
+    mask = (s - s[np.arange(len(s)), home][:, None] >= -slack[home]) & (np.arange(len(c)) < home[:, None])
+    row, cell = np.nonzero(mask)
+    for a in range(0, len(row), SLAB):
+        r, own = row[a : a + SLAB], cell[a : a + SLAB]
+        mask[r, own] = (s[r, own][:, None] - s[r] >= -slack[own]).all(1)
     return home, mask
 
 
@@ -108,7 +112,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     learned, first = {}, 0
     for d, n in sorted(counts.items()):
         got = distinct.where(F.col("d") == d).orderBy(F.xxhash64("rep", F.lit("centre")), "rep").limit(SAMPLE).select("v").toArrow()
-        c = centres(unit(matrix(got.column("v"))), max(1, round(math.sqrt(n) / 16)))
+        c = centres(unit(matrix(got.column("v"))), min(CENTRES, max(1, round(math.sqrt(n) / 16))))
         learned[d] = (c, first)
         first += len(c)
     sent = spark.sparkContext.broadcast(learned)
@@ -126,16 +130,16 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     cells = stored(distinct.select("rep", "n", "v", "d").mapInArrow(assign, f"rep long, n long, v {kind}, cell int, visits array<int>"), "cells")
     size = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    chunks = max(1, -(-sum(counts.values()) // CHUNK))
-    size = F.broadcast(size) if first <= 20_000 else size  # a row a cell
-    homes = cells.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    chunk = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
-    left = homes.select("cell", "block", "rep", "n", "v").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    size = F.broadcast(stored(size, "blocks"))  # a row a cell: CENTRES for each length of vectors
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     other = again(cells)
-    later = other.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    later = later.where("block + 1 < blocks").select("cell", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), chunk, "rep", "n", "v")
-    guests = other.select(F.explode("visits").alias("cell"), "rep", "n", "v").join(size, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk, "rep", "n", "v")
-    right = later.unionByName(guests)
+    later = other.join(size, "cell").withColumn("block", block).where("block + 1 < blocks").select("cell", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), "rep", "n", "v")
+    guests = other.select(F.explode("visits").alias("cell"), "rep", "n", "v").join(size, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "v")
+    visitors = later.unionByName(guests)
+    chunks = stored(visitors.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "chunks")
+    sent_to = lambda rows: rows.join(chunks, ["cell", "block"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    left = sent_to(cells.join(size, "cell").select("cell", block, "rep", "n", "v")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    right = sent_to(visitors).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks")
 
     def compare(key: tuple, home: pa.Table, other: pa.Table) -> pa.Table:
         none = pa.table({n: pa.array([], pa.int64()) for n in ("rep", "links", "root")})
@@ -148,6 +152,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     found = left.groupBy("cell", "block", "chunk").cogroup(right.groupBy("cell", "block", "chunk")).applyInArrow(compare, "rep long, links long, root long")
     found = stored(found, "links")
+    drop(cells)
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     whole = distinct.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")

@@ -119,8 +119,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) ->
         if own:
             yield flush()
 
-    docs_only = rows.where("token IS NULL").select("doc_id", "n", "ids").withColumn("h", F.xxhash64("ids"))
-    ordered = docs_only.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "n", "ids")
+    # the row's number in the stored table tells equal rows apart: many with one doc_id are cut like any others
+    docs_only = rows.where("token IS NULL").select("doc_id", "n", "ids").withColumns({"h": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    ordered = docs_only.repartitionByRange(shards, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "n", "ids")
     ordered.mapInArrow(run, "shard int, block int, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(f"{folder}/shards")
 
 

@@ -1,15 +1,16 @@
 """Line deduplication through a sharded minimal perfect hash.
 
-Every line's key is hashed to 128 bits. Keys found in enough documents are counted by a plain aggregation, dealt into
-shards by hash, and each shard becomes one row of arrays: the bit levels of a minimal perfect hash over its keys
-(every level keeps the keys that are alone in their place), and, at a key's number, a fingerprint, its document count and the
-largest doc_id. Documents send line hashes, never lines, to the shard's arrays; a probe computes a number, compares
-the fingerprint and decides. What comes back is only what is to be dropped. A hot shard is probed in several
-parts, each with a copy of the arrays.
-
-Defined cases: null or empty text is one empty line; a null doc_id counts as a document smaller than all others; rows
-with the same doc_id count one by one, but the decision is made by doc_id, so they lose the same lines; an empty
-table gives no rows; further columns are kept as they are, whatever their names.
+Every line's key is hashed to 128 bits. Each distinct line hash is dealt, with the number of different documents that hold
+it, into a shard, and a shard becomes one row of arrays: the bit levels of a minimal perfect hash over its keys (every level
+keeps the keys that are alone in their place), and, at a key's number, 16 bits of fingerprint and its document count;
+for frequent keys, in the order of their numbers, the largest doc_id. Documents send line hashes, never lines, to
+the shard's arrays: a probe computes a number, compares the fingerprint, reads the count and decides. What comes back is only
+what is to be dropped. A shard with many probes is probed in as many parts as it needs, each with a copy of its arrays; the
+other shards are sent once.
+
+Defined cases: null or empty text is one empty line; a null doc_id counts as one document, smaller than all others; rows
+with the same doc_id are one document where documents are counted, and each is a row of the result that loses the same lines;
+an empty table gives no rows; further columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lichen.llm._shared import plain, stored
+from lichen.llm._shared import drop, plain, stored
 from lichen.llm._words import mix, slices
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_KEYS, PROBE_ROWS = 50_000, 200_000
+SHARD_KEYS, PROBE_ROWS = 100_000, 200_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -40,11 +41,11 @@ def _key(line: bytes) -> bytes:
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2) for each different long key of each row."""
+    """(doc_id, t, h1, h2) for each different long key of each row; t is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ids, texts, own_hash = batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)
             for a, b in slices(batch.column(1), 8 << 20):
                 keys: list[bytes] = []
                 counts = []
@@ -53,10 +54,10 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     keys += own
                     counts.append(len(own))
                 h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">i8").astype(np.int64).reshape(-1, 2)
-                doc = ids[a:b].take(pa.array(np.repeat(np.arange(b - a), counts)))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "h1", "h2"])
+                row = pa.array(np.repeat(np.arange(b - a), counts))
+                yield pa.RecordBatch.from_arrays([ids[a:b].take(row), own_hash[a:b].take(row), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "t", "h1", "h2"])
 
-    return plain(docs).mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return plain(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, h1 long, h2 long")
 
 
 def perfect_hash(keys: np.ndarray) -> tuple[bytes, list[int], np.ndarray]:
@@ -95,64 +96,74 @@ def numbers(bits: bytes, sizes: list[int], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-_INDEX = "shard int, bits binary, sizes array<long>, fingerprints binary, counts binary, last binary"
+_INDEX = "shard long, bits binary, sizes array<long>, fingerprints binary, counts binary, last binary"
 
 
-def _build(table: pa.Table) -> pa.Table:
-    h1 = table.column("h1").to_numpy().view(np.uint64)
-    order_by = ("h2", np.uint64), ("n", np.int64), ("last", np.int64)
-    # equal first halves are told apart by the second: both go to the hash as one mixed key
-    keys = mix(h1 ^ mix(table.column("h2").to_numpy().view(np.uint64)))
+def _mixed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the hash, fingerprints): equal first halves are told apart by the second, both go in as one mixed key."""
+    h2 = table.column("h2").to_numpy().view(np.uint64)
+    return mix(table.column("h1").to_numpy().view(np.uint64) ^ mix(h2)), (h2 >> np.uint64(48)).astype(np.uint16)
+
+
+def _build(table: pa.Table, min_docs: int) -> pa.Table:
+    """One shard's arrays from its distinct (h1, h2, n, last)."""
+    keys, prints = _mixed(table)
     bits, sizes, number = perfect_hash(keys)
-    arrays = []
-    for name, kind in order_by:
-        x = np.empty(len(keys), kind)
-        x[number] = table.column(name).to_numpy().view(kind)
-        arrays.append(x.tobytes())
-    return pa.table([pa.array(table.column("shard").to_pylist()[:1], pa.int32()), pa.array([bits]), pa.array([sizes], pa.list_(pa.int64())), *(pa.array([x]) for x in arrays)], ["shard", "bits", "sizes", "fingerprints", "counts", "last"])
+    fingerprints, counts, last = np.empty(len(keys), np.uint16), np.empty(len(keys), np.uint32), np.empty(len(keys), np.int64)
+    fingerprints[number] = prints
+    counts[number] = np.minimum(table.column("n").to_numpy(), 2**32 - 1)
+    last[number] = table.column("last").to_numpy()
+    arrays = [fingerprints.tobytes(), counts.tobytes(), last[counts >= min_docs].tobytes()]
+    return pa.table([pa.array(table.column("shard").to_pylist()[:1], pa.int64()), pa.array([bits]), pa.array([sizes], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in arrays)], ["shard", "bits", "sizes", "fingerprints", "counts", "last"])
 
 
 _NONE = -(2**63)
-_DROPS = "doc_id long, h1 long, h2 long"
 
 
-def _probe(lines: pa.Table, index: pa.Table) -> pa.Table:
-    out = lines.select(["doc_id", "h1", "h2"])
+def _probe(lines: pa.Table, index: pa.Table, min_docs: int) -> pa.Table:
+    """The lines that a document loses, decided by the arrays of the lines' shard."""
+    out = lines.select(["doc_id", "t", "h1", "h2"])
     if not len(index) or not len(lines):
         return out.slice(0, 0)
-    row = {n: index.column(n)[0].as_py() for n in ("bits", "sizes", "fingerprints", "last")}
-    h2 = lines.column("h2").to_numpy().view(np.uint64)
-    at = numbers(row["bits"], row["sizes"], mix(lines.column("h1").to_numpy().view(np.uint64) ^ mix(h2)))
-    here = at >= 0
-    same = np.zeros(len(at), bool)
-    same[here] = np.frombuffer(row["fingerprints"], np.uint64)[at[here]] == h2[here]
+    row = {n: index.column(n)[0].as_py() for n in ("bits", "sizes", "fingerprints", "counts", "last")}
+    keys, prints = _mixed(lines)
+    at = numbers(row["bits"], row["sizes"], keys)
+    often = np.frombuffer(row["counts"], np.uint32) >= min_docs
+    known = at >= 0
+    known[known] = np.frombuffer(row["fingerprints"], np.uint16)[at[known]] == prints[known]
+    known[known] = often[at[known]]
+    place = np.cumsum(often) - 1
     doc = lines.column("doc_id").fill_null(_NONE).to_numpy()
-    drop = same.copy()
-    drop[same] = np.frombuffer(row["last"], np.int64)[at[same]] != doc[same]
-    return out.filter(pa.array(drop))
+    known[known] = np.frombuffer(row["last"], np.int64)[place[at[known]]] != doc[known]
+    return out.filter(pa.array(known))
 
 
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, h1, h2) of the keys that a document loses."""
+    """(doc_id, t, h1, h2) of the keys that a document's text, of hash t, loses."""
     lines = stored(line_hashes(docs, min_chars), "lines")
-    often = stored(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(_NONE)).alias("last")).where(F.col("n") >= min_docs), "often")
-    shards = max(1, -(-often.count() // SHARD_KEYS))
-    shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
-    largest = lines.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = -(-largest // PROBE_ROWS) or 1
-    index = stored(often.select(shard, "h1", "h2", "n", "last").groupBy("shard").applyInArrow(_build, _INDEX), "index")
-    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sent = lines.select(shard, F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "h1", "h2")
-    return sent.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_probe, _DROPS)
+    held = F.coalesce("doc_id", F.lit(_NONE))
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.count_distinct(held).alias("n"), F.max(held).alias("last")), "distinct")
+    shards = max(1, -(-distinct.count() // SHARD_KEYS))
+    shard = F.pmod(F.col("h1"), F.lit(shards).cast("long")).alias("shard")
+    index = stored(distinct.select(shard, "h1", "h2", "n", "last").groupBy("shard").applyInArrow(lambda table: _build(table, min_docs), _INDEX), "index")
+    drop(distinct)
+    # only a shard that many lines probe gets more parts; a row a shard, broadcast while there are few
+    parts = stored(lines.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("int").alias("parts")), "parts")
+    known = F.broadcast(parts) if shards <= 100_000 else parts
+    copies = index.join(known, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    sent = lines.withColumn("shard", shard).join(known, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "t"), F.col("parts")).cast("int")).drop("parts")
+    return sent.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(lambda a, b: _probe(a, b, min_docs), "doc_id long, t long, h1 long, h2 long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the lines left in ``text``; n_lines and n_dropped come after the columns of docs."""
-    lost = drops(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost")).select(F.col("doc_id").alias("id"), "lost")
+    # by document and text, not by document alone: rows of one doc_id, or without one, need not meet in one task
+    lost = drops(docs, min_chars, min_docs).groupBy(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), F.col("t").alias("of")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     others = [f for f in docs.schema.fields if f.name != "text"]
     row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)])
-    packed = docs.select(F.struct(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others))).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = packed.join(lost.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("id")), "left")
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    packed = docs.select(F.struct(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(others))).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    joined = packed.join(lost.hint("shuffle_hash"), (F.col("doc") == F.col("id")) & (F.xxhash64("text") == F.col("of")), "left")
     joined = joined.select("row", "text", F.col("lost.h1").alias("h1"), F.col("lost.h2").alias("h2"))
     schema = T.StructType([T.StructField("row", row), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

@@ -12,7 +12,8 @@ beyond one block is compared block by block; only such groups cost more than the
 
 Defined cases: null or empty text, or white space only, has no shingles and links with nothing; fewer words than a
 shingle has are one shingle; a null doc_id has its shingle count, no component (null) and is kept; rows with the same
-doc_id are one node; an empty table gives no rows; further columns are ignored.
+doc_id are one document, which has the links of all its texts, in whatever order the rows stand; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lichen.llm._shared import components, plain, stored
+from lichen.llm._shared import components, drop, plain, stored
 from lichen.llm._words import mix, slices, weights, words
 
 SHINGLE, PERCENT = 5, 80
@@ -104,15 +105,15 @@ def signatures(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, n_bands: int
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, s): each text's distinct shingle hashes, sorted, as bytes."""
+    """(doc_id, key, s): each text's content hash and its distinct shingle hashes, sorted, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                sets, _, _ = shingles(batch.column(1)[a:b], k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "s"])
+                sets, key, _ = shingles(batch.column(1)[a:b], k)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(key.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "s"])
 
-    return plain(docs).mapInArrow(run, "doc_id long, s binary")
+    return plain(docs).mapInArrow(run, "doc_id long, key long, s binary")
 
 
 def _forest(ids: list[int], sets: list[np.ndarray], home: list[bool] | None, percent: int, root: dict[int, int]) -> None:
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     sig = stored(signatures(docs, k, rows, n_bands), "signatures")
     alive = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = alive.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = alive.join(classes, [alive["k1"] == classes["k1"], alive["k2"] == classes["k2"], alive["doc_id"] == classes["rep"]], "left_semi").dropDuplicates(["doc_id"])
+    reps = alive.join(classes, [alive["k1"] == classes["k1"], alive["k2"] == classes["k2"], alive["doc_id"] == classes["rep"]], "left_semi").dropDuplicates(["k1", "k2"])
     posted = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
     first = posted.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = stored(posted.join(first, "key"), "members")
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
 
     star = members.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     groups = stored(components(star), "groups")
-    held = stored(sets.dropDuplicates(["doc_id"]).join(groups, F.col("doc_id") == F.col("node")).select(F.col("component").alias("g"), "doc_id", "s", (F.length("s") / 8).cast("long").alias("n")), "held")
+    held = stored(sets.dropDuplicates(["doc_id", "key"]).join(groups, F.col("doc_id") == F.col("node")).select(F.col("component").alias("g"), "doc_id", "s", (F.length("s") / 8).cast("long").alias("n")), "held")
     weight = held.groupBy("g").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int"))
     tasks = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
     at = held.join(weight.drop("w"), "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -191,7 +192,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     links = small.unionByName(large).groupBy("task", "i", "j").applyInArrow(link, "a long, b long")
-    parts = stored(components(links), "components")
+    # a document with several texts joins the classes of all of them
+    several = alive.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select(F.col("doc_id").alias("id"))
+    texts_of = alive.join(several, alive["doc_id"] == several["id"], "left_semi").select("doc_id", "k1", "k2")
+    own = texts_of.join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = stored(components(links.unionByName(own)), "components")
+    drop(members, sets, groups, held)
     whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = sig.join(whole, (sig["k1"] == whole["k1"]) & (sig["k2"] == whole["k2"]) & (sig["n_shingles"] > 0) & sig["doc_id"].isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))

@@ -2,12 +2,16 @@
 
 Each source's documents stand in a shuffled order (by a hash) and form one stream of words, read up to twice and cut into
 blocks of equal size. Slot i of the schedule is the golden-ratio point frac(i * phi), mapped through the cumulative
-target weights to a source; the slot's rank among its source's slots is the block it takes. Ranks up to the source's
-quota are taken, the last one in part; a source whose points run out before its quota gets the missing slots at
-the end. ``apply`` gives the readings in the order of their slots. So each source's words equal its target rounded, at any size, and no document passes twice its size.
+target weights to a source; the slot's rank among its source's slots is the block it takes. So a source gives as many
+blocks as the points of the sequence that fall into its share, and each block stands at its point's slot. ``apply`` gives
+the readings in the order of their slots.
 
-Prefix sums (documents within a source, slots of a source) are taken in two steps over bounded blocks; a source with
-a third of all rows is never in one task. What is sorted in one task is a row per source or per block of 4096 slots.
+The schedule has at most ``SLOTS`` slots at any size of the input: a block is the mix's words divided by that, rounded
+up. The golden ratio's discrepancy keeps a source within a few blocks (a few in a million of the mix) of its target; what a
+source cannot give, because its stream has ended, is not taken. No document passes twice its size.
+
+Prefix sums over documents are taken in two steps over blocks of the hash range, at most ``DOC_PARTS`` a source; a source
+with a third of all rows is never in one task. What is sorted in one task is a row per source, per slot, or per block of a source.
 
 Defined cases: null text has size 0; a source without words has target 0; null is a source of its own, the last one;
 an empty table gives no rows; further columns are ignored by ``mix`` and kept by ``apply``; repeated rows are
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from lichen.llm._shared import stored
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
-BLOCK_WORDS, SLOT_BLOCK, DOC_BLOCK = 1024, 4096, 4096
+SLOTS = 1 << 20
+DOC_BLOCK, DOC_PARTS = 4096, 1 << 16
 PHI = (math.sqrt(5) - 1) / 2
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -48,50 +53,44 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return w.select("source", "n", "source_size", "sid", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def schedule(per_source: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """(sid, rank, slot, words): the slots taken of each source, and the words of its block that each takes."""
+def schedule(per_source: DataFrame, most_slots: int = SLOTS) -> tuple[DataFrame, int]:
+    """((sid, rank, slot), words of a block): the source of every slot, and the slot's rank among its source's slots."""
     spark = per_source.sparkSession
-    quota = per_source.select("sid", F.round("target").cast("long").alias("quota")).where("quota > 0")
     by = Window.orderBy("sid")
-    quota = quota.withColumn("to", F.sum("quota").over(by.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("quota").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    quota = stored(quota.withColumn("from", F.coalesce(F.lag("to").over(by), F.lit(0.0))), "quota")
-    slots = math.ceil((quota.agg(F.sum("quota")).first()[0] or 0) / block)
-    needed = F.ceil(F.col("quota") / block).cast("long")
-    # frac(i * phi) by the cumulative weights: a range join with a row a source; the weights are cut into 1024 cells to make it an equal one
-    cells = quota.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * 1024), F.least(F.floor(F.col("to") * 1024), F.lit(1023)))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * PHI - F.floor(F.col("id") * PHI)).alias("x"))
+    share = F.sum("target").over(by.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    shares = per_source.where("target > 0").select("sid", "target", share.alias("to"))
+    shares = stored(shares.withColumn("from", F.coalesce(F.lag("to").over(by), F.lit(0.0))), "shares")
+    total = shares.agg(F.sum("target")).first()[0] or 0.0
+    block = max(1, math.ceil(total / most_slots))
+    # a range join with a row a source; the weights are cut into 1024 cells to make it an equal one
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * 1024), F.least(F.floor(F.col("to") * 1024), F.lit(1023)))))
+    points = spark.range(math.ceil(total / block)).select(F.col("id").alias("slot"), (F.col("id") * PHI - F.floor(F.col("id") * PHI)).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * 1024))
-    hit = points.join(cells, "cell").where("x >= `from` AND x < `to`").select("sid", "slot", F.floor(F.col("slot") / SLOT_BLOCK).alias("part"))
-    inside = hit.withColumn("r", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1)
-    before = hit.groupBy("sid", "part").agg(F.count(F.lit(1)).alias("c"))
-    before = before.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = inside.join(before.drop("c"), ["sid", "part"]).select("sid", (F.col("r") + F.col("before")).alias("rank"), "slot")
-    got = hit.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
-    short = quota.join(got, "sid", "left").select("sid", F.coalesce("got", F.lit(0)).alias("got"), needed.alias("needed")).where("got < needed")
-    late = short.select("sid", F.explode(F.sequence(F.col("got"), F.col("needed") - 1)).alias("rank")).withColumn("slot", F.col("rank") + slots)
-    every = ranked.unionByName(late).join(quota.select("sid", "quota"), "sid").where(F.col("rank") < needed)
-    return every.select("sid", F.col("rank").cast("long").alias("rank"), "slot", F.least(F.lit(block).cast("long"), F.col("quota") - F.col("rank") * block).alias("words"))
+    hit = points.join(cells, "cell").where("x >= `from` AND x < `to`")
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1
+    return stored(hit.select("sid", "slot", rank.cast("long").alias("rank")), "schedule"), block
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, row, size, source_size, target, taken): one row a row of docs; ``row`` tells equal ones apart if given."""
-    return placed(docs, weights, share, most, block).drop("sid", "starts")
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, most_slots: int = SLOTS) -> DataFrame:
+    """(doc_id, row, size, source_size, target, taken, first_slot): one row a row of docs; ``row`` tells equal ones apart if
+    given, first_slot is the slot in which its first reading starts, null if none does."""
+    return placed(docs, weights, share, most, most_slots).withColumn("first_slot", F.element_at("starts", 1)["slot"]).drop("sid", "starts")
 
 
-def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
+def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, most_slots: int = SLOTS) -> DataFrame:
     """As ``mix``, with sid and starts: for each pass, the slot of the block in which that reading starts and the place of its
     first word in the source's stream, null if it isn't read."""
     has_row = "_row" in docs.columns
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), *([F.col("_row").alias("row")] if has_row else [F.lit(0).cast("long").alias("row")]))
     d = stored(d, "sizes")
     per_source = stored(targets(d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), weights, share, most), "targets")
-    slots = schedule(per_source, block)
+    slots, block = schedule(per_source, most_slots)
 
     # documents of a source in hash order: blocks of the hash range, ranked inside, moved by the sizes before
     src = F.broadcast(per_source) if per_source.limit(20_001).count() <= 20_000 else per_source
     d = d.join(src, d["source"].eqNullSafe(per_source["source"]), "left").select("doc_id", "row", "size", "tie", "sid", "n", "source_size", "target")
     key = F.xxhash64(F.lit("mix"), "doc_id", "tie")  # of the contents: row numbers may differ between runs
-    d = d.withColumn("key", key).withColumn("part", F.shiftrightunsigned("key", 32) * F.greatest(F.lit(1), F.ceil(F.col("n") / DOC_BLOCK)) / F.lit(2**32))
+    d = d.withColumn("key", key).withColumn("part", F.shiftrightunsigned("key", 32) * F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / DOC_BLOCK), F.lit(DOC_PARTS))) / F.lit(2**32))
     d = d.withColumn("part", F.floor("part").cast("long"))
     inside = d.withColumn("o", F.coalesce(F.sum("size").over(Window.partitionBy("sid", "part").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = d.groupBy("sid", "part").agg(F.sum("size").alias("c"))
@@ -102,9 +101,9 @@ def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     spans = at.where("size > 0").select("uid", "sid", "o", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"))
     spans = spans.select("uid", "sid", "pass", (F.col("o") + F.col("pass") * F.col("source_size")).alias("a"), (F.col("o") + F.col("size") + F.col("pass") * F.col("source_size")).alias("b"))
     blocks = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
-    overlap = F.least("b", F.col("rank") * block + F.col("words")) - F.greatest("a", F.col("rank") * block)
+    overlap = F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)
     taken = blocks.join(slots, ["sid", "rank"]).groupBy("uid").agg(
-        F.sum(F.greatest(overlap, F.lit(0))).cast("long").alias("taken"),
+        F.sum(overlap).cast("long").alias("taken"),
         F.array(*(F.min(F.when((F.col("pass") == p) & (F.col("a") >= F.col("rank") * block), F.struct("slot", F.col("a").alias("word")))) for p in range(most))).alias("starts"),
     )
     return at.join(taken, "uid", "left").select("doc_id", "row", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "sid", "starts")
@@ -130,5 +129,5 @@ def apply(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words each document gives to the mix."""
+    """Words each document gives to the mix, and the slot at which it does so first."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).drop("row")

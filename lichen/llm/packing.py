@@ -28,7 +28,7 @@ from lichen.llm._words import slices
 
 CAPACITY = 2048
 END_ID = 0
-BLOCK = 512
+BLOCK, BLOCKS = 512, 1 << 16
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -126,14 +126,15 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
 
 def _ranked(df: DataFrame, key: str) -> DataFrame:
     """A rank from 0 within ``key``, in no fixed order. No window or task holds more than a block's rows of one
-    key: rows are dealt into blocks by a hash, ranked there, and moved by a prefix sum over the blocks' sizes."""
-    blocks = F.pmod(F.xxhash64("doc_id", "piece"), F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK)).cast("long"))
+    key: rows are dealt into at most ``BLOCKS`` blocks by a hash, ranked there, and moved by a prefix sum over the blocks'
+    sizes. The hash has the number of the row, ``_row``, so rows with one doc_id, or equal ones, are dealt as others."""
+    blocks = F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.greatest(F.lit(1), F.least(F.ceil(F.col("_n") / BLOCK), F.lit(BLOCKS))).cast("long"))
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     cut = df.join(F.broadcast(sizes), key).withColumn("_block", blocks).drop("_n")
-    inside = cut.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_block").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    inside = cut.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_block").orderBy("_row")) - 1)
     per_block = cut.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_c"))
     before = per_block.withColumn("_before", F.sum("_c").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    return inside.join(before.drop("_c"), [key, "_block"]).withColumn("_rank", F.col("_r") + F.coalesce("_before", F.lit(0))).drop("_r", "_before", "_block")
+    return inside.join(before.drop("_c"), [key, "_block"]).withColumn("_rank", F.col("_r") + F.coalesce("_before", F.lit(0))).drop("_r", "_before", "_block", "_row")
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -161,7 +162,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for x, rank, per, base, offsets in slots:
         by.setdefault(x, []).append((rank, per, base, offsets))
     table = spark.sparkContext.broadcast({x: (np.array([s[0] for s in v]), np.array([s[1] for s in v]), np.array([s[2] for s in v]), [np.array(s[3]) for s in v]) for x, v in by.items()})
-    ranked = _ranked(parts, "length")
+    ranked = _ranked(parts if "_row" in parts.columns else parts.withColumn("_row", F.monotonically_increasing_id()), "length")
+    parts = parts.drop("_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +186,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """All documents packed: one row a piece, with its place and, with_ids, its ids; ``sequences`` joins them."""
-    return place(stored(pieces(docs, path, capacity, end_id, with_ids), "pieces"), capacity)
+    return place(stored(pieces(docs, path, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

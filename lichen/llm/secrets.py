@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import math
 import random
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ KEYLIKE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "model")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_TOTAL, LEAST_STEP = 12.0, 0.5
+STEP = 128
 NONE = "cast(array() as array<struct<start:int,order:int,end:int>>)"
 
 
@@ -71,28 +72,39 @@ def log_ratios(labelled: Iterable[tuple[str, bool]]) -> list[float]:
     return out
 
 
+def _running(items: Column, length: Callable[[Column], Column], spans: Callable[[Column, Column], Column]) -> Column:
+    """All spans(start, item), where an item starts at the sum of the lengths before it.
+
+    Items are walked ``STEP`` at a time and their spans then moved, so that no array grows item by item to the length of a
+    text: the work is in proportion to items times STEP."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STEP).cast("int")), lambda i: F.slice(items, i * STEP + 1, STEP))
+    zero = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], spans(acc["at"], x)).alias("out"))
+    walked = F.transform(chunks, lambda c: F.aggregate(c, zero, step))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    starts = lambda w: F.aggregate(w, begin, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    moved = lambda w, at: F.transform(w["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["order"].alias("order"), (s["end"] + at).alias("end")))
+    # walked is taken once, as the one element of an array
+    return F.flatten(F.element_at(F.transform(F.array(walked), lambda w: F.zip_with(w, starts(w), moved)), 1))
+
+
 def _places(text: Column, pattern: str, kind: str, value: int, least: int) -> Column:
     """array<struct<start, order, end>> of the matches whose group ``value`` has ``least`` characters or more."""
     p = F.lit(pattern)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("all"), F.regexp_extract_all(text, p, F.lit(value)).alias("own"))
     span = lambda start, x: F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), (start + F.length(x["all"])).alias("end")))
     none = F.expr(NONE)
-    walk = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["all"]), F.lit(0))).alias("at"),
-            F.when(F.coalesce(F.length(x["own"]) >= least, F.lit(False)), F.concat(acc["out"], span(acc["at"] + F.length(x["gap"]), x))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    spans = lambda at, x: F.when(F.coalesce(F.length(x["own"]) >= least, F.lit(False)), span(at + F.length(x["gap"]), x)).otherwise(none)
+    walk = _running(found, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["all"]), F.lit(0)), spans)
     return F.when(F.rlike(text, p), walk).otherwise(none)
 
 
-def _outside(run: Column) -> Column:
-    """The pieces of a run between the base spans, those of 16 characters or more."""
+def _outside(run: Column, blocks: Column) -> Column:
+    """The pieces of a run between the base spans, those of 16 characters or more. ``blocks`` are base spans in their order,
+    STEP at a time, each with the place where the first begins and the last ends: only those that meet the run are looked through."""
     piece = lambda start, end: F.when(end - start >= 16, F.array(F.struct(start.alias("start"), run["order"].alias("order"), end.alias("end")))).otherwise(F.expr(NONE))
-    within = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    near = F.flatten(F.transform(F.filter(blocks, lambda b: (b["first"] < run["end"]) & (run["start"] < b["last"])), lambda b: b["spans"]))
+    within = F.filter(near, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
     cut = F.aggregate(
         within,
         F.struct(run["start"].alias("at"), F.expr(NONE).alias("out")),
@@ -102,6 +114,13 @@ def _outside(run: Column) -> Column:
     return F.when(F.size(within) > 0, cut).otherwise(F.array(run))
 
 
+def _blocks(spans: Column) -> Column:
+    """Sorted spans, STEP at a time: array<struct<first, last, spans>>."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STEP).cast("int")), lambda i: F.slice(spans, i * STEP + 1, STEP))
+    bounded = lambda s: F.struct(F.element_at(s, 1)["start"].alias("first"), F.array_max(F.transform(s, lambda x: x["end"])).alias("last"), s.alias("spans"))
+    return F.when(F.size(spans) > 0, F.transform(parts, bounded)).otherwise(F.expr("cast(array() as array<struct<first:int,last:int,spans:array<struct<start:int,order:int,end:int>>>>)"))
+
+
 def _ratio(run: Column, table: Column, code: Column) -> Column:
     """The log-likelihood ratio of a run of key characters."""
     codes = F.transform(F.split(run, ""), lambda c: F.element_at(code, F.ascii(c) + 1))
@@ -117,7 +136,7 @@ def find_secrets(docs: DataFrame, labelled: Iterable[tuple[str, bool]] | None =
     text = F.col("text")
     base = F.concat(_places(text, ASSIGN, "assign", 2, 6), _places(text, ACCESS, "access", 0, 20), _places(text, HEX, "hex", 0, 24))
     d = plain(docs).withColumn("base", F.array_sort(base)).withColumn("runs", _places(text, KEYLIKE, "model", 0, 16))
-    free = F.flatten(F.transform("runs", _outside))
+    free = F.flatten(F.element_at(F.transform(F.array(_blocks(F.col("base"))), lambda b: F.transform("runs", lambda r: _outside(r, b))), 1))
     steps = lambda m: m["end"] - m["start"] - 1
 
     def secret(m: Column) -> Column:

@@ -10,8 +10,9 @@ What is sampled: only the rows to learn from, at most ``positives`` and ``unlabe
 held-out fold, by a hash of doc_id. Every text is scored whole.
 
 Defined cases: null or empty text has no words and gets the score of the bias; a null doc_id is in no fold, is never
-learned from and is scored; labels that are null are left out; without toxic or unlabelled rows every score is 0;
-repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
+learned from and is scored; labels that are null are left out, and a document with several is toxic if one of them says so;
+of a document with several texts the one with the smallest hash is learned from, and each is scored; without toxic or
+unlabelled rows every score is 0; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,15 +102,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """A model from labelled rows outside the held-out fold. The samples and the feature table are bounded by the
     parameters, and so is all that the driver holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.where(~held_out(F.col("id")))
+    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     none = Model(np.empty(0, np.uint64), np.empty(0), -np.inf, 0.0)
     if not toxic or toxic == total:
         return none
-    pick = lambda d, n, kind: d.select("id").distinct().orderBy(F.xxhash64("id", F.lit(kind)), "id").limit(n).withColumn("kind", F.lit(kind))
+    pick = lambda d, n, kind: d.select("id").orderBy(F.xxhash64("id", F.lit(kind)), "id").limit(n).withColumn("kind", F.lit(kind))
     sample = pick(known.where("toxic = 1"), positives, 1).unionByName(pick(known, unlabelled, 0))
     texts = plain(docs)
-    chosen = texts.join(F.broadcast(sample), texts["doc_id"] == sample["id"]).select("doc_id", "kind", "text")
+    # one text a document: what is gathered below has no more rows than the sample
+    chosen = texts.join(F.broadcast(sample), texts["doc_id"] == sample["id"]).groupBy("doc_id", "kind").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     seen = stored(_present(chosen), "toxic-words")
     n = {r["kind"]: r["count"] for r in seen.groupBy("kind").count().collect()}
     if len(n) < 2:
