@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lichen.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
-from lichen.llm._shared import ship, stored
+from lichen.llm._shared import drop, scratch, ship, stored
 from lichen.llm._tokens import word_path
 
 
@@ -35,10 +35,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays, the one with the smallest doc_id."""
+    """One document of each component of near-duplicates stays, the one with the smallest doc_id. Near is a similarity of 0.8
+    of five-word shingles. Documents without an id stay."""
     ship(spark)
-    gone = stored(minhash_dedup.near_duplicates(docs), "near").where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti").select(_quoted(docs))
+    gone = stored(minhash_dedup.near_duplicates(docs, k=5, percent=80), "near").where("NOT kept").select(F.col("doc_id").alias("_gone"), F.lit(0).cast("long").alias("_none")).distinct()
+    # rows without an id match nothing; their texts deal them over the tasks
+    none = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).otherwise(F.lit(0).cast("long"))
+    return docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == gone["_gone"]) & (none == gone["_none"]), "left_anti").select(_quoted(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +67,13 @@ ORACLE_SQL = None  # tested against brute force in tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is a table in the shared folder, read by the next."""
+    """All stages over ``documents``; each one's result is a table in the shared folder, read by the next and then deleted."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, f) in enumerate(STAGES[:-1]):
+        with scratch(f"stage-{i}-"):  # what a stage stores on its way goes with it
+            docs = stored(f(spark, docs, sf_dir), f"stage-{i}")
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
