@@ -36,11 +36,13 @@ def cleaned(name: Column, rank: Column) -> Column:
 
 
 def title_case(name: Column) -> Column:
-    """Words in title case; short words in capitals stay, only the part before an apostrophe is capitalised, parts
-    between hyphens each are."""
-    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))
-    word = lambda w: F.when((F.length(w) <= 4) & (w == F.upper(w)) & (w != F.lower(w)), w).otherwise(F.array_join(F.transform(F.split(w, "-"), cap), "-"))
-    return F.array_join(F.transform(F.split(name, " "), word), " ")
+    """Words in title case: short words in capitals stay; of a word with an apostrophe only the first letter is capital, and
+    an apostrophe at the end goes; in others each part between hyphens has one. Outer spaces go."""
+    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    capitals = lambda w: (F.length(w) <= 4) & (w == F.upper(w)) & (w != F.lower(w))
+    quoted = lambda w: cap(F.regexp_replace(w, r"^([^']*)'$", "$1"))
+    word = lambda w: F.when(capitals(w), w).when(w.contains("'"), quoted(w)).otherwise(F.array_join(F.transform(F.split(w, "-"), cap), "-"))
+    return F.trim(F.array_join(F.transform(F.split(name, " "), word), " "))
 
 
 # Licenses in order of preference, those that may be used at all, and what short codes stand for.

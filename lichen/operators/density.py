@@ -9,38 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lichen.operators.stats import finite
+
 BINS, OUT = 512, 128
+MIN_TRIPLES, DOTS = 2, 200
 SCHEMA = "count long, bandwidth double, points array<double>, density array<double>, mode double, entropy double"
 
 
 def gaussian_curve(x: np.ndarray, n: np.ndarray, std: float, reflect: bool) -> tuple[float, np.ndarray, np.ndarray]:
     """(bandwidth, points, density) of weighted bin centres, by Silverman's normal rule; values of ratio data from 0 up
-    are reflected at 0 and the area made 1 again."""
-    total = n.sum()
-    h = 1.06 * std * total**-0.2
-    if h <= 0:
+    are reflected at 0, so that the area from 0 up is 1. Equal values get a bandwidth of a hundredth of them and a span of a
+    tenth to both sides (0.1 and 1 for zeros); less than two have no curve."""
+    total, low, high = n.sum(), float(x.min()), float(x.max())
+    if total < 2:
         return 0.0, np.empty(0), np.empty(0)
-    points = np.linspace(x.min(), x.max(), OUT)
+    if math.isclose(low, high):
+        low, high = low - (abs(low) * 0.1 or 1.0), high + (abs(low) * 0.1 or 1.0)
+    h = (abs(float(x[0])) * 0.01 or 0.1) if std < 1e-10 else 1.06 * std * total**-0.2
+    points = np.linspace(low, high, OUT)
     kernel = lambda c: (np.exp(-0.5 * ((points[:, None] - c[None, :]) / h) ** 2) @ n) / (total * h * math.sqrt(2 * math.pi))
-    density = kernel(x) + (kernel(-x) if reflect and x.min() >= 0 else 0)
-    area = np.trapezoid(density, points)
-    return h, points, density / area if reflect and area > 0 else density
+    return h, points, kernel(x) + (kernel(-x) if reflect and low >= 0 else 0)
 
 
 def circular_curve(degrees: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bandwidth in radians, points, density) on the circle, a wrapped Gaussian by Fourier series; nothing where the
+    """(bandwidth in degrees, points, density) on the circle, a wrapped Gaussian by Fourier series; nothing where the
     spread is none."""
     total, a = n.sum(), np.radians(degrees)
     r = min(1.0, abs((n * np.exp(1j * a)).sum()) / total)
     spread = math.sqrt(-2 * math.log(max(r, 1e-10)))
-    if math.degrees(spread) < 1e-6:
+    if total < 2 or spread < 1e-6:
         return 0.0, np.empty(0), np.empty(0)
     h = max((4 / (3 * total)) ** 0.2 * spread, 0.05)
     k = np.arange(1, BINS // 2)
     c = (n * np.exp(-1j * np.outer(k, a))).sum(1) / total * np.exp(-0.5 * (k * h) ** 2)
     points = np.linspace(0, 360, OUT, endpoint=False)
     d = (1 + 2 * (np.exp(1j * np.outer(np.radians(points), k)) @ c).real) / 360
-    return h, points, np.maximum(d, 0)
+    return math.degrees(h), points, np.maximum(d, 0)
 
 
 def entropy_of(points: np.ndarray, density: np.ndarray) -> float:
@@ -69,12 +73,14 @@ def density(df: DataFrame, by: str, value: str, scale: str) -> DataFrame:
     return binned.groupBy(by).applyInPandas(curve, f"`{by}` {kind}, {SCHEMA}")
 
 
-def ternary(df: DataFrame, by: str, axes: tuple[str, str, str], edge: int = 24) -> DataFrame:
-    """(by, count, density): triples as shares, in isometric log-ratio coordinates, a two-dimensional Gaussian density with
-    Scott's bandwidth at the points of a triangular grid, the largest 1. Shares are binned to thousandths first."""
+def ternary(df: DataFrame, by: str, axes: tuple[str, str, str], edge: int = 24, least: int = MIN_TRIPLES) -> DataFrame:
+    """(by, count, density, sample): triples as shares, in isometric log-ratio coordinates, a two-dimensional Gaussian density
+    with Scott's bandwidth at the points of a triangular grid, the largest 1, and at most ``DOTS`` of the triples to be drawn
+    over it. Shares are binned to thousandths first. Groups of less than ``least`` triples, or with all on one line of the
+    coordinates, have no row."""
     s = sum((F.col(a).cast("double") for a in axes[1:]), F.col(axes[0]).cast("double"))
-    shares = [F.round(F.greatest(F.col(a).cast("double") / s, F.lit(0.0)), 3) for a in axes]
-    binned = df.where(s > 0).groupBy(by, *(x.alias(f"_{i}") for i, x in enumerate(shares))).agg(F.count(F.lit(1)).alias("n"))
+    shares = [F.round(F.greatest(F.try_divide(F.col(a).cast("double"), s), F.lit(0.0)), 3) for a in axes]
+    binned = df.where(finite(s) & (s > 0)).groupBy(by, *(x.alias(f"_{i}") for i, x in enumerate(shares))).agg(F.count(F.lit(1)).alias("n"))
 
     def ilr(p: np.ndarray) -> np.ndarray:
         q = np.log(np.maximum(p, 1e-3))
@@ -85,7 +91,10 @@ def ternary(df: DataFrame, by: str, axes: tuple[str, str, str], edge: int = 24)
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, n = ilr(pdf[["_0", "_1", "_2"]].to_numpy(float)), pdf["n"].to_numpy(float)
         total, mean = n.sum(), (z * n[:, None]).sum(0) / n.sum()
-        cov = ((z - mean).T * n) @ (z - mean) / max(total - 1, 1) * total ** (-1 / 3) + 1e-9 * np.eye(2)
+        cov = ((z - mean).T * n) @ (z - mean) / max(total - 1, 1) * total ** (-1 / 3)
+        low, high = np.linalg.eigvalsh(cov)
+        if total < least or low <= 1e-12 * max(high, 1e-12):
+            return pd.DataFrame({by: [], "count": [], "density": []})
         inv = np.linalg.inv(cov)
         g = ilr(grid)
         d = np.zeros(len(grid))
@@ -94,4 +103,11 @@ def ternary(df: DataFrame, by: str, axes: tuple[str, str, str], edge: int = 24)
             d += np.exp(-0.5 * np.einsum("gki,ij,gkj->gk", diff, inv, diff)) @ n[a : a + 1024]
         return pd.DataFrame({by: [pdf[by].iloc[0]], "count": [int(total)], "density": [(d / d.max() if d.max() > 0 else d).tolist()]})
 
-    return binned.groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, count long, density array<double>")
+    curves = binned.groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, count long, density array<double>")
+    # the first by a hash of the shares: a fixed choice, and no more than DOTS of a partition meet
+    order = F.struct(F.xxhash64("_0", "_1", "_2", F.lit("dots")).alias("h"), F.array("_0", "_1", "_2").alias("p"))
+    salted = binned.select(by, order.alias("o"), F.pmod(F.xxhash64("_0", "_1", "_2"), F.lit(64)).alias("_s"))
+    first = lambda c: F.slice(F.array_sort(c), 1, DOTS)
+    part = salted.groupBy(by, "_s").agg(first(F.collect_list("o")).alias("o"))
+    dots = part.groupBy(by).agg(first(F.flatten(F.collect_list("o"))).alias("o")).select(F.col(by).alias("_by"), F.transform("o", lambda x: x["p"]).alias("sample"))
+    return curves.join(dots, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")

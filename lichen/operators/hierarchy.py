@@ -69,3 +69,13 @@ def agreed_parent(ids: DataFrame, parents_of_ids: DataFrame) -> DataFrame:
     joined = ids.where("outer_id IS NOT NULL").join(parents_of_ids, "outer_id").where("outer_parent IS NOT NULL")
     agg = joined.groupBy("parent_key").agg(F.count_distinct("outer_parent").alias("n"), F.min("outer_parent").alias("inferred"))
     return agg.where("n = 1").select("parent_key", "inferred")
+
+
+def fetch_plan(sizes: DataFrame, most: int) -> DataFrame:
+    """(taxon_key, n): the subtrees to ask a paged service for, from (taxon_key, parent_key, n): the highest that have at most
+    ``most`` results, and, where nothing is below them, larger ones. Empty ones need no request."""
+    up = sizes.select(F.col("taxon_key").alias("_up"), F.col("n").alias("_n"))
+    j = sizes.where("n > 0").join(up, F.col("parent_key") == F.col("_up"), "left").where(F.col("_n").isNull() | (F.col("_n") > most))
+    inner = sizes.select(F.col("parent_key").alias("_inner")).where("_inner IS NOT NULL").distinct()
+    leaf = j.where(F.col("n") > most).join(inner, F.col("taxon_key") == F.col("_inner"), "left_anti")
+    return j.where(F.col("n") <= most).select("taxon_key", "n").unionByName(leaf.select("taxon_key", "n"))

@@ -43,7 +43,7 @@ def first_region(points: DataFrame, key: str, regions: DataFrame, cell: float) -
     """(key, region): the first region, by name, whose box (south, west, north, east) holds a point strictly inside.
 
     Boxes are posted in every cell they meet, points in their own, so it is an equi-join on the cell and not a comparison
-    of all points with all regions. A further test on rings goes after it.
+    of all points with all regions. ``region_at`` takes rings instead of boxes.
     """
     at = lambda c: F.floor(c / cell)
     posted = regions.select("region", "south", "west", "north", "east", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))).alias("i"), F.col("west").alias("w"), F.col("east").alias("e"))
@@ -53,6 +53,50 @@ def first_region(points: DataFrame, key: str, regions: DataFrame, cell: float) -
     return p.select(key).join(hit, key, "left")
 
 
+def edges(rings: Column) -> Column:
+    """The sides (y1, x1, y2, x2) of rings of (lat, lon) corners, each closed; rings under three corners have none."""
+
+    def of(ring: Column) -> Column:
+        following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        side = lambda a, b: F.struct(a["lat"].alias("y1"), a["lon"].alias("x1"), b["lat"].alias("y2"), b["lon"].alias("x2"))
+        return F.zip_with(ring, following, side)
+
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) >= 3), of))
+
+
+def odd_crossings(sides: Column, lat: Column, lon: Column) -> Column:
+    """A line to the east meets an odd number of sides: inside, by the even-odd rule, so holes are rings like others."""
+    east = lambda e: lon < e["x1"] + (lat - e["y1"]) * ((e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
+    met = F.filter(sides, lambda e: F.when((lat > e["y1"]) != (lat > e["y2"]), east(e)).otherwise(False))
+    return F.size(met) % 2 == 1
+
+
+def region_at(points: DataFrame, key: str, regions: DataFrame, cell: float) -> DataFrame:
+    """(key, region): the first region, by name, whose rings hold the point; null where none does.
+
+    ``regions`` is (region, rings: array<array<struct<lat, lon>>>). A region is posted in the cells of its box, each time with
+    only those of its sides that the cell's band of latitude meets: all that a line to the east can cross. Points look
+    in their own cell, so it is an equi-join, and a coast of a million corners is never held whole against a point."""
+    at = lambda c: F.floor(c / cell)
+    r = regions.select("region", edges(F.col("rings")).alias("sides")).where(F.size("sides") > 0)
+    ends = lambda f, names: f(F.flatten(F.transform("sides", lambda e: F.array(*(e[n] for n in names)))))
+    r = r.select("region", "sides", ends(F.array_min, ("y1", "y2")).alias("south"), ends(F.array_max, ("y1", "y2")).alias("north"), ends(F.array_min, ("x1", "x2")).alias("west"), ends(F.array_max, ("x1", "x2")).alias("east"))
+    band = r.withColumn("i", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
+    low, high = F.col("i") * cell, (F.col("i") + 1) * cell
+    band = band.withColumn("sides", F.filter("sides", lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)))
+    posted = band.select("region", "i", "sides", "south", "north", "west", "east", F.explode(F.sequence(at(F.col("west")), at(F.col("east")))).alias("j"))
+    p = points.select(key, "lat", "lon", at(F.col("lat")).alias("i"), at(F.col("lon")).alias("j"))
+    near = p.join(posted, ["i", "j"]).where("lat BETWEEN south AND north AND lon BETWEEN west AND east")
+    hit = near.where(odd_crossings(F.col("sides"), F.col("lat"), F.col("lon"))).groupBy(key).agg(F.min("region").alias("region"))
+    return points.select(key).join(hit, key, "left")
+
+
+def zoom_of(population: Column, steps: list[tuple[int, int]]) -> Column:
+    """The zoom from which a place is shown, by the largest of the (least population, zoom) steps it reaches, else the last's."""
+    steps = sorted(steps, reverse=True)
+    return F.coalesce(*(F.when(population >= least, zoom) for least, zoom in steps), F.lit(steps[-1][1]))
+
+
 def top_per_cell(df: DataFrame, cell: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each cell."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

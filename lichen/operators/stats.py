@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPAN = 1 << 16
 POINTS = (("10th_percentile", 0.1), ("25th_percentile", 0.25), ("median", 0.5), ("75th_percentile", 0.75), ("90th_percentile", 0.9))
 
 
@@ -24,19 +25,11 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
 
 
-def scanned_bytes(df: DataFrame) -> int:
-    """The size of the tables that a query reads, as the planner knows it before any join; no job is run."""
-    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
-def continuous(df: DataFrame, by: list[str], value: str, key: str = "catalog_number", in_memory: int = 256 << 20) -> DataFrame:
+def continuous(df: DataFrame, by: list[str], value: str, key: str = "catalog_number", small_groups: bool = False) -> DataFrame:
     """count, unique_samples, min, percentiles, max, mean, sample std, variance, iqr, 10_90_range and range; exact.
 
-    Percentiles of a group are taken in one task's memory while the tables read are smaller than ``in_memory`` bytes, and
-    by ``percentiles`` beyond; the result is the same."""
+    Percentiles are selected, for groups of any size. A caller that knows its groups to fit in a task's memory can say
+    so with ``small_groups``, and saves two passes; the result is the same."""
     v = F.col(value).cast("double")
     agg = [
         F.count(F.lit(1)).alias("count"),
@@ -47,7 +40,7 @@ def continuous(df: DataFrame, by: list[str], value: str, key: str = "catalog_num
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
     ]
     groups = df.where(finite(v)).groupBy(*by)
-    if scanned_bytes(df) < in_memory:
+    if small_groups:
         return _spread(groups.agg(*agg, F.percentile(v, [p for _, p in POINTS]).alias("_p")))
     ordered = percentiles(df, by, value)
     found = ordered.select(*by, F.array(*(F.col(name) for name, _ in POINTS)).alias("_p"))
@@ -128,10 +121,14 @@ def class_fractions(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, bin, n, fraction) for all whole numbers from the smallest to the largest, zeros too."""
+    """(by, bin, n, fraction) for all whole numbers from the smallest to the largest, zeros too, which may be many more than
+    the rows: none of it is in one task's memory."""
     c = _class_counts(df, by, value)
     ends = c.groupBy(*by).agg(F.sum("n").alias("total"), F.min("class").alias("a"), F.max("class").alias("b"))
-    span = ends.select(*by, "total", F.explode(F.sequence("a", "b")).alias("class"))
+    # in two steps: the array of a wide span would be as long as the span
+    parts = ends.select(*by, "total", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / SPAN).cast("long"))).alias("_p"))
+    start = F.col("a") + F.col("_p") * SPAN
+    span = parts.select(*by, "total", F.explode(F.sequence(start, F.least("b", start + SPAN - 1))).alias("class"))
     return span.join(c, [*by, "class"], "left").select(*by, F.col("class").alias("bin"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("fraction"))
 
 
@@ -167,8 +164,9 @@ def list_counts(df: DataFrame, by: list[str], column: str) -> DataFrame:
 
 def value_range(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row: least and largest first value of a key, and the 0.1 and 99.9 percentiles."""
-    first = df.where(finite(F.col(value))).groupBy(key).agg(F.min(F.col(value).cast("double")).alias("v"))
-    return first.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.001)).alias("p_low"), F.percentile("v", F.lit(0.999)).alias("p_high"))
+    first = df.where(finite(F.col(value))).groupBy(key).agg(F.min(F.col(value).cast("double")).alias("v")).withColumn("_all", F.lit(1))
+    ends = first.agg(F.min("v").alias("min"), F.max("v").alias("max")).withColumn("_all", F.lit(1))
+    return ends.join(percentiles(first, ["_all"], "v", (("p_low", 0.001), ("p_high", 0.999))), "_all", "left").drop("_all")
 
 
 def _bessel(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,3 +243,10 @@ def curve_entropy(points: Column, density: Column) -> Column:
     step = F.zip_with(F.slice(points, F.lit(2), F.size(points) - 1), F.slice(points, F.lit(1), F.size(points) - 1), lambda b, a: b - a)
     mean = F.zip_with(F.slice(g, F.lit(2), F.size(g) - 1), F.slice(g, F.lit(1), F.size(g) - 1), lambda b, a: (a + b) / 2)
     return F.when(F.size(points) > 1, -F.aggregate(F.zip_with(step, mean, lambda s, m: s * m), F.lit(0.0), lambda a, x: a + x))
+
+
+def matrix(tall_rows: DataFrame, pairs: list[tuple[str, str]], by: str = "taxon_key") -> DataFrame:
+    """One row a key with a float for each (variable, metric) as variable_metric: what a service keeps for sorting. The pairs are
+    the columns, so it is one aggregation; ``cache`` or a sink keeps it."""
+    cell = lambda v, m: F.max(F.when((F.col("variable") == v) & (F.col("metric") == m), F.col("value")))
+    return tall_rows.groupBy(by).agg(*(cell(v, m).cast("float").alias(f"{v}_{m}") for v, m in pairs))

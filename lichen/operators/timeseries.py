@@ -88,3 +88,9 @@ def window_state(state: DataFrame, facts: DataFrame, now: int, hours: int, cell:
 def finite_until(series: DataFrame, cell: str = "cell") -> DataFrame:
     """(cell, last): the last hour with a value; later observations wait for a retry."""
     return series.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(cell).agg(F.max("hour").alias("last"))
+
+
+def value_at(points: DataFrame, series: DataFrame, key: str) -> DataFrame:
+    """(key, value) of each point's cell in its hour; null where the series has none."""
+    s = series.select("cell", "hour", "value")
+    return points.select(key, "cell", "hour").join(s, ["cell", "hour"], "left").select(key, "value")

@@ -2,6 +2,6 @@
 
 from lichen.plans.catalog import CATALOG
 
-from lichen.plans import catalog_grids, catalog_layers, catalog_names, catalog_texts  # isort: skip  # each adds its own to CATALOG
+from lichen.plans import catalog_grids, catalog_layers, catalog_more, catalog_names, catalog_texts  # isort: skip  # each adds its own to CATALOG
 
-__all__ = ["CATALOG", "catalog_grids", "catalog_layers", "catalog_names", "catalog_texts"]
+__all__ = ["CATALOG", "catalog_grids", "catalog_layers", "catalog_more", "catalog_names", "catalog_texts"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -423,10 +424,13 @@ def dew_point(spark: SparkSession, d: str) -> DataFrame:
     return _li(spark, d, dew=weather.dew_point(F.col("l_quantity"), F.col("l_discount") * 1200))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS cloud, l_discount * 50 AS rain, l_tax * 15 AS snow, l_quantity - 10 AS t FROM lineitem), c AS (SELECT *, CASE WHEN snow >= 1 THEN 75 WHEN snow >= 0.3e0 THEN 73 WHEN snow > 0.05e0 THEN 71 WHEN rain >= 4 THEN 65 WHEN rain >= 1 THEN 63 WHEN rain >= 0.3e0 THEN 61 WHEN rain > 0.05e0 THEN 51 WHEN cloud >= 80 THEN 3 WHEN cloud >= 50 THEN 2 WHEN cloud >= 20 THEN 1 ELSE 0 END AS c FROM x)
-SELECT l_orderkey, l_linenumber, CASE WHEN c BETWEEN 61 AND 65 AND t < 0 THEN c + 10 WHEN c >= 71 AND t > 4 THEN c - 10 ELSE c END AS code FROM c""")
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS cloud, l_discount * 100 AS rain, l_tax * 100 AS snow, CASE WHEN l_linenumber <> 3 THEN l_quantity - 25 END AS t FROM lineitem),
+c AS (SELECT *, CASE WHEN snow / 10 >= 0.8 THEN 75 WHEN snow / 10 >= 0.2 THEN 73 WHEN snow / 10 >= 0.01 THEN 71 WHEN rain >= 7.6 THEN 65 WHEN rain >= 2.5 THEN 63 WHEN rain >= 1.3 THEN 61 WHEN rain >= 1 THEN 55 WHEN rain >= 0.5 THEN 53
+  WHEN rain >= 0.01 THEN 51 WHEN cloud >= 80 THEN 3 WHEN cloud >= 50 THEN 2 WHEN cloud >= 20 THEN 1 ELSE 0 END AS code FROM w)
+SELECT l_orderkey, l_linenumber, CASE WHEN t > 0 AND code IN (71, 73, 75) THEN code - 10 WHEN t < 0 AND code IN (61, 63, 65) THEN code + 10 ELSE code END AS code FROM c""")
 def weather_code(spark: SparkSession, d: str) -> DataFrame:
-    return _li(spark, d, code=weather.weather_code(F.col("l_quantity") * 2, F.col("l_discount") * 50, F.col("l_tax") * 15, F.col("l_quantity") - 10))
+    q = F.col("l_quantity")
+    return _li(spark, d, code=weather.weather_code(q * 2, F.col("l_discount") * 100, F.col("l_tax") * 100, F.when(F.col("l_linenumber") != 3, q - 25)))
 
 
 @query(f"WITH {_PRECEDENCE}, m AS (SELECT cell, avg(value - 10) AS u, avg(source_rank - 1.5e0) AS v FROM f GROUP BY 1) SELECT cell, fix(sqrt(u * u + v * v), 6) AS speed, fix(degrees(atan2(-u, -v)) + 360 - 360 * floor((degrees(atan2(-u, -v)) + 360) / 360), 6) AS direction FROM m")
@@ -435,12 +439,12 @@ def wind_vector_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.select("cell", weather.wind_speed(F.col("u"), F.col("v")).alias("speed"), weather.wind_from(F.col("u"), F.col("v")).alias("direction")))
 
 
-@query("SELECT l_orderkey, l_linenumber, fix(coalesce(l_quantity + (CASE WHEN l_linenumber <> 2 THEN l_extendedprice END / 50 - l_discount * 1000) * 0.0065e0, l_quantity), 6) AS t FROM lineitem")
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END / 50 AS model, CASE l_linenumber WHEN 3 THEN -9999e0 ELSE l_discount * 1000 END AS own FROM lineitem)
+SELECT l_orderkey, l_linenumber, fix(CASE WHEN model IS NOT NULL AND own > -9000 THEN v + (model - own) * 0.0065e0 ELSE v END, 6) AS t FROM e""")
 def elevation_correction(spark: SparkSession, d: str) -> DataFrame:
-    return _li(spark, d, t=weather.elevation_corrected(F.col("l_quantity"), F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice")) / 50, F.col("l_discount") * 1000))
-
-
-# geography
+    n = F.col("l_linenumber")
+    model, own = F.when(n != 2, F.col("l_extendedprice")) / 50, F.when(n == 3, -9999.0).otherwise(F.col("l_discount") * 1000)
+    return _li(spark, d, t=weather.elevation_corrected(F.col("l_quantity"), model, own))
 
 
 @query(f"WITH {SQL_OBS} SELECT catalog_number, CAST(greatest(0, least(720, round_even((lat + 90) / 0.25e0, 0))) AS BIGINT) AS i, CAST(greatest(0, least(1439, round_even((lon + 180) / 0.25e0, 0))) AS BIGINT) AS j FROM obs")
@@ -493,10 +497,16 @@ def slope_aspect(spark: SparkSession, d: str) -> DataFrame:
     return rounded(w.select("i", "j", slope.alias("slope"), aspect.alias("aspect")), 5)
 
 
-@query(f"WITH {SQL_OBS}, r AS (SELECT CAST(p_partkey // 36 AS BIGINT) AS row, CAST(p_partkey % 36 AS BIGINT) AS col, CASE WHEN p_size <> 7 THEN p_size END AS raw FROM part WHERE p_partkey < 648) SELECT o.catalog_number, fix(r.raw * 0.1e0 - 5, 6) AS value FROM obs o LEFT JOIN r ON r.row = CAST(floor((90 - o.lat) / 10) AS BIGINT) AND r.col = CAST(floor((o.lon + 180) / 10) AS BIGINT)")
+@query(f"""WITH {SQL_OBS}, n AS (SELECT CAST(ceil(sqrt((max(p_partkey) + 1) / 2e0)) AS BIGINT) AS h FROM part),
+r AS (SELECT CAST(p_partkey // (2 * h) AS BIGINT) AS row, CAST(p_partkey % (2 * h) AS BIGINT) AS col, CASE WHEN p_size <> 7 THEN p_size END AS raw FROM part, n)
+SELECT o.catalog_number, fix(r.raw * 0.1e0 - 5, 6) AS value FROM obs o, n LEFT JOIN r ON r.row = CAST(floor((90 - o.lat) / (180e0 / h)) AS BIGINT) AND r.col = CAST(floor((o.lon + 180) / (180e0 / h)) AS BIGINT)""")
 def raster_cell_join(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "part").where("p_partkey < 648").select(F.floor(F.col("p_partkey") / 36).cast("long").alias("row"), (F.col("p_partkey") % 36).alias("col"), F.when(F.col("p_size") != 7, F.col("p_size")).alias("raw"))
-    row, col = geo.raster_cell(F.col("lat"), F.col("lon"), 10.0)
+    """Parts are the pixels of a raster twice as wide as high, all of them."""
+    part = table(spark, d, "part")
+    h = math.ceil(math.sqrt(((part.agg(F.max("p_partkey")).first()[0] or 0) + 1) / 2))
+    k = F.col("p_partkey")
+    cells = part.select(F.floor(k / (2 * h)).cast("long").alias("row"), (k % (2 * h)).cast("long").alias("col"), F.when(F.col("p_size") != 7, F.col("p_size")).alias("raw"))
+    row, col = geo.raster_cell(F.col("lat"), F.col("lon"), 180.0 / h)
     o = observations(spark, d).select("catalog_number", row.alias("row"), col.alias("col"))
     return rounded(o.join(cells, ["row", "col"], "left").select("catalog_number", (F.col("raw") * 0.1 - 5).alias("value")))
 
@@ -514,25 +524,31 @@ def slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
-@query("SELECT p_partkey, upper(p_name[1]) || lower(split_part(p_name, ' ', 1)[2:]) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || lower(split_part(p_name, ' ', 2)[2:]) || ' USA' AS title FROM part")
+@query("""WITH w AS (SELECT p_partkey, upper(p_name[1]) || lower(split_part(p_name, ' ', 1)[2:]) AS a, upper(split_part(p_name, ' ', 2)[1]) || lower(split_part(p_name, ' ', 2)[2:]) AS b FROM part)
+SELECT p_partkey, a || ' ' || b || ' King''s-crown Blue-Eyed O''brien Cows USA X-Ray' AS title FROM w""")
 def title_case(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", text.title_case(F.concat("p_name", F.lit(" USA"))).alias("title"))
+    name = F.concat(F.lit(" "), "p_name", F.lit(" KING'S-crown blue-eyed o'BRIEN cows' USA x-ray "))
+    return table(spark, d, "part").select("p_partkey", text.title_case(name).alias("title"))
 
 
-@query("WITH idx AS (SELECT lower(p_name) AS name, count(DISTINCT p_brand) AS k, min(p_brand) AS brand FROM part WHERE p_partkey % 40 = 0 GROUP BY 1) SELECT p_partkey, brand FROM part JOIN idx ON lower(p_name) = idx.name WHERE k = 1")
+@query("WITH n AS (SELECT p_partkey, p_brand, lower(p_name || ' ' || p_type || ' ' || p_size) AS name FROM part), idx AS (SELECT name, min(p_brand) AS brand FROM n GROUP BY 1 HAVING count(DISTINCT p_brand) = 1) SELECT p_partkey, brand FROM n JOIN idx USING (name)")
 def name_match_unique(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    index = p.groupBy(text.matching(F.col("p_name")).alias("name")).agg(F.count_distinct("p_brand").alias("k"), F.min("p_brand").alias("brand")).where("k = 1")
-    return p.withColumn("name", text.matching(F.col("p_name"))).join(index, "name").select("p_partkey", "brand")
+    """Names of all parts, long enough for most to have one brand."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", text.matching(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))).alias("name"))
+    index = p.groupBy("name").agg(F.count_distinct("p_brand").alias("k"), F.min("p_brand").alias("brand")).where("k = 1")
+    return p.join(index, "name").select("p_partkey", "brand")
 
 
-@query("WITH a AS (SELECT p_partkey, p_name, p_type, p_brand FROM part), m AS (SELECT p_type, p_name, p_brand, min(p_partkey) AS id FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL), s AS (SELECT p_type, p_name, min(p_partkey) AS id FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL HAVING count(DISTINCT p_brand) = 1) SELECT a.p_partkey, coalesce(m.id, s.id) AS outer_id FROM a LEFT JOIN m USING (p_type, p_name, p_brand) LEFT JOIN s ON a.p_type = s.p_type AND a.p_name = s.p_name")
+@query("""WITH k AS (SELECT p_partkey, p_name, p_type, CASE WHEN p_size % 2 = 0 THEN 'Brand#00' ELSE p_brand END AS b FROM part), m AS (SELECT p_type, p_name, p_brand, min(p_partkey) AS id FROM part GROUP BY ALL),
+s AS (SELECT p_type, p_name, min(p_partkey) AS id FROM part GROUP BY ALL HAVING count(DISTINCT p_brand) = 1)
+SELECT k.p_partkey, coalesce(m.id, s.id) AS outer_id FROM k LEFT JOIN m ON k.p_type = m.p_type AND k.p_name = m.p_name AND k.b = m.p_brand LEFT JOIN s ON k.p_type = s.p_type AND k.p_name = s.p_name""")
 def mapping_exact_stripped(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    known = p.where(F.col("p_partkey") % 3 == 0)
-    exact = known.groupBy("p_type", "p_name", "p_brand").agg(F.min("p_partkey").alias("exact"))
-    loose = known.groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("loose"), F.count_distinct("p_brand").alias("k")).where("k = 1").drop("k")
-    return p.join(exact, ["p_type", "p_name", "p_brand"], "left").join(loose, ["p_type", "p_name"], "left").select("p_partkey", F.coalesce("exact", "loose").alias("outer_id"))
+    """All parts against an outer catalogue of all parts; every other one has lost its brand and must do without."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    exact = p.groupBy("p_type", "p_name", "p_brand").agg(F.min("p_partkey").alias("exact"))
+    loose = p.groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("loose"), F.count_distinct("p_brand").alias("k")).where("k = 1").drop("k")
+    own = p.select("p_partkey", "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, "Brand#00").otherwise(F.col("p_brand")).alias("p_brand"))
+    return own.join(exact, ["p_type", "p_name", "p_brand"], "left").join(loose, ["p_type", "p_name"], "left").select("p_partkey", F.coalesce("exact", "loose").alias("outer_id"))
 
 
 @query(f"WITH {SQL_OBS} SELECT taxon_key, arg_min(catalog_number, (CASE WHEN nominal = 70 THEN 0 ELSE 1 END) * 1000000000 + ordinal * 100000000 + catalog_number) AS image FROM obs WHERE obscured = 'No' GROUP BY 1")
@@ -564,7 +580,7 @@ def evidence_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SQL_OBS}, p AS (SELECT 'p' || catalog_number AS place, lat, lon, ratio AS population FROM obs WHERE catalog_number % 5 = 0), c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) * 6371e0 AS x, cos(radians(lat)) * sin(radians(lon)) * 6371e0 AS y, sin(radians(lat)) * 6371e0 AS z FROM p) SELECT place FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.place <> b.place AND b.population >= a.population AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 22500e0)")
+@query(f"WITH {SQL_OBS}, p AS (SELECT 'p' || catalog_number AS place, lat, lon, ratio AS population FROM obs), c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) * 6371e0 AS x, cos(radians(lat)) * sin(radians(lon)) * 6371e0 AS y, sin(radians(lat)) * 6371e0 AS z FROM p) SELECT place FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.place <> b.place AND b.population >= a.population AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 22500e0)")
 def isolated_places(spark: SparkSession, d: str) -> DataFrame:
     p = observations(spark, d).select(F.concat(F.lit("p"), "catalog_number").alias("place"), "lat", "lon", F.col("ratio").alias("population"))
     return ranking.isolated(p).select("place")

@@ -11,7 +11,10 @@ from lichen.plans.catalog import query, rounded
 from lichen.sources.tables import SQL_HOURLY, SQL_OBS, hourly, observations, table
 
 # a grid of 40 columns, its cells numbered by part
-SQL_GRID = """grid AS (SELECT p_partkey // 40 AS "row", p_partkey % 40 AS col, p_retailprice AS value FROM part WHERE p_partkey < 1600)"""
+SQL_GRID = """grid AS (SELECT p_partkey // 40 AS "row", p_partkey % 40 AS col, p_retailprice AS value FROM part)"""
+# the rows of that grid, 40 at least, and the cells of a new one with 55 for each 40
+SQL_NEW = """n AS (SELECT greatest(40, max(p_partkey) // 40 + 1) AS h, CAST(ceil(h * 55e0 / 40) AS BIGINT) AS h2 FROM part),
+t AS (SELECT i AS "row", j AS col, h, (i + 0.5e0) * (h / CAST(h2 AS DOUBLE)) AS y, (j + 0.5e0) * (40e0 / 55) AS x FROM n, (SELECT unnest(range(h2)) AS i FROM n), range(55) b(j))"""
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
@@ -68,16 +71,16 @@ def regrid_average(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rasters.regrid_average(grid(spark, d), 2), 4)
 
 
-@query(f"""WITH {SQL_GRID}, t AS (SELECT i AS "row", j AS col, least(39, CAST(floor((i + 0.5e0) * (40e0 / 55) ) AS BIGINT)) AS r0, least(39, CAST(floor((j + 0.5e0) * (40e0 / 55)) AS BIGINT)) AS c0 FROM range(55) a(i), range(55) b(j))
-SELECT t."row", t.col, fix(value, 4) AS value FROM t LEFT JOIN grid g ON t.r0 = g."row" AND t.c0 = g.col""")
+@query(f"""WITH {SQL_GRID}, {SQL_NEW} SELECT t."row", t.col, fix(value, 4) AS value FROM t LEFT JOIN grid g ON least(h - 1, CAST(floor(y) AS BIGINT)) = g."row" AND least(39, CAST(floor(x) AS BIGINT)) = g.col""")
 def regrid_nearest(spark: SparkSession, d: str) -> DataFrame:
     rows, new_rows = grid_rows(spark, d)
     return rounded(rasters.regrid_nearest(grid(spark, d), rows, 40, new_rows, 55), 4)
 
 
-@query(f"""WITH {SQL_GRID}, t AS (SELECT i AS "row", j AS col, greatest(0e0, least((i + 0.5e0) * (40e0 / 55) - 0.5e0, 39e0)) AS y, greatest(0e0, least((j + 0.5e0) * (40e0 / 55) - 0.5e0, 39e0)) AS x FROM range(55) a(i), range(55) b(j)),
-w AS (SELECT t."row", t.col, greatest(0e0, 1 - abs(y - g."row")) * greatest(0e0, 1 - abs(x - g.col)) AS w, value FROM t JOIN grid g ON abs(y - g."row") < 1 AND abs(x - g.col) < 1)
-SELECT "row", col, fix(sum(w * value) / sum(w), 4) AS value FROM w GROUP BY ALL""")
+@query(f"""WITH {SQL_GRID}, {SQL_NEW}, c AS (SELECT "row", col, greatest(0e0, least(y - 0.5e0, h - 1e0)) AS y, greatest(0e0, least(x - 0.5e0, 39e0)) AS x FROM t),
+k AS (SELECT "row", col, y, x, CAST(floor(y) AS BIGINT) + a AS r, CAST(floor(x) AS BIGINT) + b AS q FROM c, range(2) u(a), range(2) v(b)),
+w AS (SELECT k."row", k.col, greatest(0e0, 1 - abs(y - r)) * greatest(0e0, 1 - abs(x - q)) AS w, value FROM k JOIN grid g ON g."row" = r AND g.col = q)
+SELECT "row", col, fix(sum(w * value) / sum(w), 4) AS value FROM w WHERE w > 0 GROUP BY ALL""")
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
     rows, new_rows = grid_rows(spark, d)
     return rounded(rasters.regrid_bilinear(grid(spark, d), rows, 40, new_rows, 55), 4)
@@ -182,7 +185,7 @@ def locations_table(spark: SparkSession, d: str) -> DataFrame:
     return places.with_ancestors(every)
 
 
-@query(f"""WITH {SQL_OBS}, b AS (SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS region, s_suppkey * 7 % 160 - 85e0 AS south, s_suppkey * 13 % 340 - 175e0 AS west FROM supplier WHERE s_suppkey <= 60)
+@query(f"""WITH {SQL_OBS}, b AS (SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS region, s_suppkey * 7 % 160 - 85e0 AS south, s_suppkey * 13 % 340 - 175e0 AS west FROM supplier)
 SELECT catalog_number, min(b.region) AS region FROM obs LEFT JOIN b ON lat > south AND lat < south + 12 AND lon > west AND lon < west + 15 GROUP BY 1""")
 def point_in_region(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
@@ -199,7 +202,7 @@ def tile_bounds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.select("x", "y", degrees.alias("west")))
 
 
-@query(f"""WITH {SQL_HOURLY}, o AS (SELECT o_orderkey, o_orderkey % 20 AS cell, CAST(473352 + o_orderkey * 17 % 720 AS BIGINT) AS hour FROM orders WHERE o_orderkey % 10 = 0)
+@query(f"""WITH {SQL_HOURLY}, o AS (SELECT o_orderkey, o_orderkey % 20 AS cell, CAST(473352 + o_orderkey * 17 % 720 AS BIGINT) AS hour FROM orders)
 SELECT o_orderkey, fix(sum(value), 4) AS sum, count(value) AS n FROM o LEFT JOIN hourly h ON o.cell = h.cell AND h.hour BETWEEN o.hour - 23 AND o.hour GROUP BY 1""")
 def cell_series_join(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 20).alias("cell"), (473352 + F.col("o_orderkey") * 17 % 720).cast("long").alias("hour"))

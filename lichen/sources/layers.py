@@ -27,6 +27,28 @@ def layers(catalog: DataFrame) -> DataFrame:
     return w.select(F.when(F.col("hours").isNull(), F.col("id")).otherwise(own).alias("id"), F.col("id").alias("variable"), "hours")
 
 
+def variable_ids(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``asked`` (id, ...) with ``resolved``: the id if a layer has it, else without its underscores, as older links spell it."""
+    k = known.select(F.col("id").alias("_id")).distinct()
+    return asked.join(k, F.col("id") == F.col("_id"), "left").withColumn("resolved", F.coalesce("_id", F.replace("id", F.lit("_"), F.lit("")))).drop("_id")
+
+
+def metadata(catalog: DataFrame, first: int = 10_000) -> DataFrame:
+    """(id, name, category, value_type, domain, sort_order) of an archive's columns from a catalog (place, id, name, category, value_type,
+    filename, derived, aggregate, windows): static layers that have a file or are derived, then temporal ones, a row a
+    window, from ``first`` on. A catalog has a few hundred rows; one window numbers them."""
+    from pyspark.sql import Window
+
+    kind = F.when(F.col("value_type").isin("nominal", "ordinal"), "discrete").otherwise("continuous").alias("domain")
+    number = F.row_number().over(Window.orderBy("place")) - 1
+    static = catalog.where("windows IS NULL AND (filename IS NOT NULL OR derived)").withColumn("sort_order", number)
+    timed = catalog.where("windows IS NOT NULL").withColumn("_i", number).select("*", F.posexplode("windows").alias("_k", "_hours"))
+    own = F.concat_ws("_", "id", F.coalesce("aggregate", F.lit("avg")), F.concat(F.col("_hours").cast("string"), F.lit("h")))
+    timed = timed.withColumns({"id": own, "sort_order": F.lit(first) + F.col("_i") * F.size("windows") + F.col("_k")})
+    columns = ("id", F.coalesce("name", "id").alias("name"), "category", "value_type", kind, F.col("sort_order").cast("long").alias("sort_order"))
+    return static.select(*columns).unionByName(timed.select(*columns))
+
+
 def base_layer(name: Column) -> Column:
     """A layer id without its window: what its legend is filed under if it has none of its own."""
     return F.regexp_replace(name, r"_[a-z]+_\d+h$", "")
@@ -100,13 +122,14 @@ def reserved(columns: list[str], layer_ids: list[str]) -> None:
 
 
 def observation_names(df: DataFrame, column: str | None, order: str) -> DataFrame:
-    """df with observation_name: the column's value, or the row's number in the upload's order where blank. An upload is
-    bounded, so one window numbers it."""
-    from pyspark.sql import Window
+    """df with observation_name: the column's value, or the row's number by ``order``, a whole number, where blank. Rows are
+    numbered in blocks of 4096 values of the order, so no task holds them all."""
+    from lichen.operators import rasters
 
-    made = F.concat(F.lit("Observation #"), F.row_number().over(Window.orderBy(order)))
+    numbered = rasters.row_numbers(df, [order], F.floor(F.col(order) / 4096))
+    made = F.concat(F.lit("Observation #"), F.col("row_number") + 1)
     given = F.when(F.trim(F.col(column)) != "", F.col(column)) if column else F.lit(None).cast("string")
-    return df.withColumn("observation_name", F.coalesce(given, made))
+    return numbered.withColumn("observation_name", F.coalesce(given, made)).drop("row_number")
 
 
 def schema_of(spark: SparkSession, path: str) -> dict[str, str]:

@@ -11,6 +11,17 @@ def by_taxon(df: DataFrame, path: str, files: int, key: str = "taxon_key", then:
     df.repartitionByRange(files, key, *then).sortWithinPartitions(key, *then).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
+def catalog_index(df: DataFrame, path: str, files: int) -> None:
+    """(catalog_number, taxon_key, lat, lon) in ranges of catalog_number: one number is looked up in one row group."""
+    by_taxon(df.select("catalog_number", "taxon_key", "lat", "lon"), path, files, "catalog_number")
+
+
+def of_one(parts: dict[str, DataFrame], path: str, key: str = "taxon_key") -> None:
+    """The statistics of one taxon or upload, a table a kind, without the key."""
+    for kind, df in parts.items():
+        df.drop(key).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{kind}")
+
+
 def rankings(df: DataFrame, path: str, files: int) -> None:
     """Both layouts: by taxon and variable, and by the ancestor's ranked list."""
     by_taxon(df, f"{path}/by_taxon", files, "taxon_key", ("variable",))
