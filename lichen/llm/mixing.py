@@ -102,7 +102,8 @@ def placed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     spans = spans.select("uid", "sid", "pass", (F.col("o") + F.col("pass") * F.col("source_size")).alias("a"), (F.col("o") + F.col("size") + F.col("pass") * F.col("source_size")).alias("b"))
     blocks = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     overlap = F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)
-    taken = blocks.join(slots, ["sid", "rank"]).groupBy("uid").agg(
+    # as wide as SLOTS: too much to be broadcast, whatever its file's size says
+    taken = blocks.join(slots.hint("merge"), ["sid", "rank"]).groupBy("uid").agg(
         F.sum(overlap).cast("long").alias("taken"),
         F.array(*(F.min(F.when((F.col("pass") == p) & (F.col("a") >= F.col("rank") * block), F.struct("slot", F.col("a").alias("word")))) for p in range(most))).alias("starts"),
     )
