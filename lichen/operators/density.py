@@ -94,7 +94,7 @@ def ternary(df: DataFrame, by: str, axes: tuple[str, str, str], edge: int = 24,
         cov = ((z - mean).T * n) @ (z - mean) / max(total - 1, 1) * total ** (-1 / 3)
         low, high = np.linalg.eigvalsh(cov)
         if total < least or low <= 1e-12 * max(high, 1e-12):
-            return pd.DataFrame({by: [], "count": [], "density": []})
+            return pd.DataFrame({by: [], "count": [], "density": []}, dtype=object)
         inv = np.linalg.inv(cov)
         g = ilr(grid)
         d = np.zeros(len(grid))
