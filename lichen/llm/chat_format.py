@@ -5,6 +5,11 @@ intersected with the sorted token spans by binary search. The template's control
 straddles the border of a turn and the mask is exact. Control strings inside texts and roles are escaped by a
 backslash after their first character (one more, where there are some), and unescaped by taking it out.
 
+Tokens of a byte-level vocabulary in merge order are runs of the text's bytes, so its offsets are running sums of the
+tokens' lengths, counted in characters: the ids come from the rank encoder, the offsets from numpy. Another kind of
+tokenizer, and a text whose runs of blanks exceed the rank encoder's pattern engine, gives its own offsets; both ways
+agree where both work.
+
 A conversation becomes one row, as the format asks for; what a task holds is bounded by its longest conversation.
 
 Defined cases: null text or role is empty; turns are ordered by turn (null first), then role and text; equal rows are turns
@@ -15,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -29,6 +35,8 @@ START, MIDDLE, END = "[INST]", "[/INST]", "</s>"
 CONTROLS = (START, MIDDLE, END, "<s>")
 _CONTROL = re.compile(r"(\[)(\\*)(/?INST\])|(<)(\\*)(/?s>)")
 _ESCAPED = re.compile(r"(\[|<)\\(\\*(?:/?INST\]|/?s>))")
+# The fixed splitting pattern of byte-level vocabularies.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TURN = re.compile(r"\[INST\](.*?)\[/INST\](.*?)</s>", re.DOTALL)
 
 
@@ -40,14 +48,72 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
-@lru_cache(maxsize=2)
-def _coder(path: str):  # noqa: ANN202
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Coder:
+    """Ids and character offsets by the tokenizer of a file, the control strings being tokens of their own."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+        self.full.add_special_tokens(list(CONTROLS))
+        with open(path, encoding="utf-8") as f:
+            self.ranked = self._ranked(json.load(f))
+
+    def _ranked(self, spec: dict):  # noqa: ANN202
+        """The rank encoder, if the file describes one: byte-level, plain, with ids in the order of the merges."""
+        import tiktoken
+
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True):
+            return None
+        if spec.get("normalizer") or spec.get("post_processor") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        vocab = model["vocab"]
+        order = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+        letters = _byte_letters()
+        pieces = {k: i for k, i in vocab.items() if k not in special}
+        if order != list(range(256, 256 + len(order))) or len(pieces) != 256 + len(order) or any(t.lstrip or t.rstrip or t.single_word for t in self.full.get_added_tokens_decoder().values()):
+            return None
+        ranks = {bytes(letters[c] for c in k): i for k, i in pieces.items()}
+        self.length = np.zeros(self.full.get_vocab_size(), np.int64)
+        for k, i in (*ranks.items(), *((k.encode("utf-8"), i) for k, i in special.items())):
+            self.length[i] = len(k)
+        return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, spans in characters)."""
+        if self.ranked is not None:
+            try:
+                ids = self.ranked.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the pattern engine's stack; the other encoder has none
+                pass
+            else:
+                return ids.astype(np.int32), self._spans(text, ids)
+        e = self.full.encode(text, add_special_tokens=False)
+        return np.array(e.ids, np.int32), np.array(e.offsets, np.int64).reshape(-1, 2)
+
+    def _spans(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """A token that starts or ends within a character has all of it."""
+        ends = np.cumsum(self.length[ids])
+        starts = ends - self.length[ids]
+        if not text.isascii():
+            first = np.frombuffer(text.encode("utf-8"), np.uint8) & 0xC0 != 0x80
+            before = np.concatenate([[0], np.cumsum(first)])
+            starts, ends = before[starts + 1] - 1, before[ends]
+        return np.stack([starts, ends], axis=1)
+
+
+def _byte_letters() -> dict[str, int]:
+    """The byte of each letter of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
 
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens(list(CONTROLS))
-    return t
+
+@lru_cache(maxsize=2)
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def render(turns: list[dict], learn: frozenset[str]) -> tuple[str, list[tuple[int, int]]]:
@@ -89,11 +155,12 @@ def format_chats(conversations: DataFrame, path: str, learn: tuple[str, ...] = (
                 b = big.slice(a, 100)
                 made = [render(t, wanted) for t in b.column(1).to_pylist()]
                 columns: list[list] = [[], [], [], []]
-                for (_, spans), e in zip(made, coder.encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    for c, x in zip(columns, (np.array(e.ids, np.int32), offsets[:, 0], offsets[:, 1], mask(offsets, spans)), strict=True):
+                for text, spans in made:
+                    ids, offsets = coder.encode(text)
+                    for c, x in zip(columns, (ids, offsets[:, 0], offsets[:, 1], mask(offsets, spans)), strict=True):
                         c.append(x)
-                arrays = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int8()), strict=True)]
+                first = pa.array(np.cumsum([0, *map(len, columns[0])]), pa.int32())
+                arrays = [pa.ListArray.from_arrays(first, pa.array(np.concatenate(c), t)) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int8()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), *arrays], ["conv_id", "formatted", "ids", "starts", "ends", "mask"])
 
     return whole.mapInArrow(run, "conv_id long, formatted string, ids array<int>, starts array<long>, ends array<long>, mask array<tinyint>")

@@ -77,6 +77,20 @@ def test_components_of_a_chain(spark):
     assert got == {i: 100 for i in range(100, 141)} | {150: 150, 200: 150, 201: 150}
 
 
+def test_chat_offsets_equal_the_tokenizer():
+    import public_tokenizers
+
+    c = chat_format.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert c.ranked is not None
+    odd = ["", "a", " ", "[INST]été 日本語 🙂🙃x[/INST] don't  </s><s>\n\n <|endoftext|> 12345 ｗｉｄｅ ẗ\u0301", "\n" * 1_200_000, "x" * 50_000, "日" * 3_000 + "[IN" + "ST]", "\u2028\x85\x00 \t z"]
+    for text in odd:
+        ids, spans = c.encode(text)
+        e = c.full.encode(text, add_special_tokens=False)
+        assert ids.tolist() == e.ids and [tuple(x) for x in spans.tolist()] == e.offsets
+    word = chat_format.Coder(word_path())
+    assert word.ranked is None and word.encode("some words")[0].tolist() == word.full.encode("some words", add_special_tokens=False).ids
+
+
 def test_chat_format(spark):
     odd = "[INST] a [\\INST] </s> <s> [/INST]\n\\</s>"
     data = [(1, 2, "assistant", odd), (1, 1, "user", "q\n"), (1, 1, "user", "q\n"), (2, 0, "assistant", "\n\n lead "), (2, 1, "assistant", None), (2, None, None, "n"), (None, 0, "assistant", "😀é"), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
