@@ -4,11 +4,14 @@ Each permutation gives two values, its minimum and its maximum, so half the hash
 of six values find a pair at similarity 0.8 with probability 1 - (1 - 0.8**6)**40, a miss in about 2e5 pairs, and
 fewer above it. Documents with the same words are one class from the start, and only its smallest doc_id goes on.
 
-Documents that share a band's bucket are candidates. They are joined to the smallest of their bucket, so a bucket costs as
-many rows as members, and the components of that are candidate groups. A group's full sets meet in blocks of bounded
-size: a posting list of a block's shingles counts the intersections of a document with all others at once, and what
-a block returns is a spanning forest of its links, never its pairs. No bucket, group or partner is capped. A group
-beyond one block is compared block by block; only such groups cost more than their size.
+Documents that share a band's bucket are candidates, and all comparisons are of full sets. First each is compared with the
+smallest of its buckets, which costs as many sets as documents have buckets' smallest, and for a group of near copies, however
+large, finds nearly all its links. Buckets whose other members these links bring together are settled. The rest of them make
+candidate groups, in which every document outside the heaviest part linked so far is compared with all others: two
+documents of that part are linked already. Groups beyond a block's size are cut into blocks, so a comparison's
+memory is bounded; their cost is the product of what is outside that part and the whole, and not the square of the whole.
+A posting list of shingles counts the intersections of a document with all others at once, and what comes back is a
+spanning forest of links, never pairs. No bucket, group or partner is capped.
 
 Defined cases: null or empty text, or white space only, has no shingles and links with nothing; fewer words than a
 shingle has are one shingle; a null doc_id has its shingle count, no component (null) and is kept; rows with the same
@@ -18,12 +21,12 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lichen.llm._shared import components, drop, plain, stored
@@ -32,6 +35,8 @@ from lichen.llm._words import mix, slices, weights, words
 SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
 BLOCK_SHINGLES = 500_000
+SALTS = 64
+ASKS, LISTED = 1, 2
 _random = np.random.Generator(np.random.PCG64(5_077))
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _MULTIPLY = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -116,8 +121,8 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return plain(docs).mapInArrow(run, "doc_id long, key long, s binary")
 
 
-def _forest(ids: list[int], sets: list[np.ndarray], home: list[bool] | None, percent: int, root: dict[int, int]) -> None:
-    """Joins in ``root`` the ids of linked sets: all pairs, or those of a home set with another one."""
+def _forest(ids: list[int], sets: list[np.ndarray], asks: np.ndarray, listed: np.ndarray, percent: int, root: dict[int, int]) -> None:
+    """Joins in ``root`` the ids of linked sets: each that asks with all that are listed."""
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -125,19 +130,16 @@ def _forest(ids: list[int], sets: list[np.ndarray], home: list[bool] | None, per
             x = root[x]
         return x
 
-    for i in ids:
-        root.setdefault(i, i)
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
     cut = np.concatenate([[0], np.cumsum(size)])
-    listed = np.ones(len(sets), bool) if home is None else ~np.array(home)
     keep = listed[owner]
     order = np.argsort(number[keep], kind="stable")
     posting = owner[keep][order]
     first = np.searchsorted(number[keep][order], np.arange(len(values) + 1))
     roots = len({top(i) for i in ids})
-    for x in range(len(sets)) if home is None else np.flatnonzero(home).tolist():
+    for x in np.flatnonzero(asks).tolist():
         if roots == 1:
             break
         own = number[cut[x] : cut[x + 1]]
@@ -152,52 +154,130 @@ def _forest(ids: list[int], sets: list[np.ndarray], home: list[bool] | None, per
                 roots -= 1
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row a row of docs."""
-    sig = stored(signatures(docs, k, rows, n_bands), "signatures")
-    alive = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = alive.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = alive.join(classes, [alive["k1"] == classes["k1"], alive["k2"] == classes["k2"], alive["doc_id"] == classes["rep"]], "left_semi").dropDuplicates(["k1", "k2"])
-    posted = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
-    first = posted.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(posted.join(first, "key"), "members")
+def _outside(size: list[int], known: list[int]) -> np.ndarray:
+    """Which sets lie outside the heaviest part (the smallest of equals)."""
+    weight: Counter[int] = Counter()
+    for n, c in zip(size, known, strict=True):
+        weight[c] += n
+    major = min(weight, key=lambda c: (-weight[c], c))
+    return np.array([c != major for c in known])
 
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    texts = plain(docs)
-    sets = stored(shingle_sets(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi"), k), "sets")
 
-    star = members.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    groups = stored(components(star), "groups")
-    held = stored(sets.dropDuplicates(["doc_id", "key"]).join(groups, F.col("doc_id") == F.col("node")).select(F.col("component").alias("g"), "doc_id", "s", (F.length("s") / 8).cast("long").alias("n")), "held")
-    weight = held.groupBy("g").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int"))
-    tasks = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
-    at = held.join(weight.drop("w"), "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    small = at.where("blocks = 1").select(F.pmod(F.xxhash64("g"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g", "block", "doc_id", "s")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    large = at.where("blocks > 1").withColumn("other", other).select(F.col("g").alias("task"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "g", "block", "doc_id", "s")
+def _compared(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within each g of each task (task, i, j), from rows (g, doc_id, known, role, s). ``known`` is the part a document
+    is linked to already; one with role ASKS is compared with those LISTED, and without roles all outside the heaviest
+    part with all."""
 
     def link(table: pa.Table) -> pa.Table:
         by: dict[int, list[int]] = defaultdict(list)
         for k, g in enumerate(table.column("g").to_pylist()):
             by[g].append(k)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        doc, block = table.column("doc_id").to_pylist(), table.column("block").to_pylist()
+        doc, known, role = (table.column(c).to_pylist() for c in ("doc_id", "known", "role"))
         raw = table.column("s").to_pylist()
         root: dict[int, int] = {}
+        for d, c in zip(doc, known, strict=True):
+            root.setdefault(c, c)
+            root.setdefault(d, c)
+        before = dict(root)
         for rows in by.values():
-            home = None if i == j else [block[k] == i for k in rows]
-            if len(rows) > 1 and (home is None or any(home) and not all(home)):
-                _forest([doc[k] for k in rows], [np.frombuffer(raw[k], np.uint64) for k in rows], home, percent, root)
-        pairs = [(x, r) for x, r in root.items() if x != r]
+            sets = [np.frombuffer(raw[k], np.uint64) for k in rows]
+            if role[rows[0]]:
+                asks, listed = (np.array([role[k] == r for k in rows]) for r in (ASKS, LISTED))
+            else:
+                asks, listed = _outside([len(s) for s in sets], [known[k] for k in rows]), np.ones(len(rows), bool)
+            if asks.any() and listed.any():
+                _forest([doc[k] for k in rows], sets, asks, listed, percent, root)
+        pairs = [(x, r) for x, r in root.items() if x != r and before[x] != r]
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    links = small.unionByName(large).groupBy("task", "i", "j").applyInArrow(link, "a long, b long")
+    return tasks.select("task", "i", "j", "g", "doc_id", "known", "role", "s").groupBy("task", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def _cut(held: DataFrame, large: DataFrame, role: Column) -> tuple[DataFrame, DataFrame]:
+    """(tasks of groups that fit in a block, dealt together; rows of those in ``large``, by g, with its columns).
+
+    ``large`` has a row for a block's worth of shingles at most, and is met in SALTS parts, so no task holds a group."""
+    tasks = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wide = large.withColumn("salt", salts).withColumnRenamed("g", "_g")
+    at = held.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    at = at.join(wide, (at["g"] == wide["_g"]) & (at["_salt"] == wide["salt"]), "left").drop("_g", "_salt", "salt")
+    whole = at.where("blocks IS NULL").select(F.pmod(F.xxhash64("g"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g", "doc_id", "known", role.alias("role"), "s")
+    return whole, at.where("blocks IS NOT NULL")
+
+
+def _dealt(n: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / BLOCK_SHINGLES).cast("int")
+
+
+def _by_star(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of documents with the smallest of their buckets, (least, rep)."""
+    pairs = stars.unionByName(stars.select("least", F.col("least").alias("rep")).distinct())
+    held = pairs.join(sets, pairs["rep"] == sets["doc_id"]).select(F.col("least").alias("g"), "doc_id", F.col("doc_id").alias("known"), "n", "s")
+    held = stored(held, "held")
+    large = held.groupBy("g").agg(_blocks(F.sum("n")).alias("blocks")).where("blocks > 1")
+    asks = F.col("doc_id") == F.col("g")
+    whole, cut = _cut(held, large, F.when(asks, ASKS).otherwise(LISTED))
+    parts = [cut.where(asks).withColumn("i", _each("blocks")).withColumn("role", F.lit(ASKS)), cut.where(~asks).withColumn("i", _dealt("blocks")).withColumn("role", F.lit(LISTED))]
+    for p in parts:
+        whole = whole.unionByName(p.select(F.col("g").alias("task"), "i", F.lit(-1).alias("j"), "g", "doc_id", "known", "role", "s"))
+    return _compared(whole, percent)
+
+
+def _by_group(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of what lies outside the heaviest part of each group with all of it; groups: (g, node, known)."""
+    held = groups.join(sets, groups["node"] == sets["doc_id"]).select("g", "doc_id", "known", "n", "s")
+    held = stored(held, "held")
+    part = held.groupBy("g", "known").agg(F.sum("n").alias("w"))
+    of = part.groupBy("g").agg(F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("known", F.struct("w", -F.col("known"))).alias("major"))
+    large = of.select("g", "major", _blocks(F.col("all")).alias("blocks"), _blocks(F.col("all") - F.col("most")).alias("asked")).where("blocks > 1")
+    whole, cut = _cut(held, large, F.lit(0))
+    cut = cut.where("asked > 0")
+    parts = [cut.where("known <> major").withColumn("i", _dealt("asked")).withColumn("j", _each("blocks")).withColumn("role", F.lit(ASKS)), cut.withColumn("j", _dealt("blocks")).withColumn("i", _each("asked")).withColumn("role", F.lit(LISTED))]
+    for p in parts:
+        whole = whole.unionByName(p.select(F.col("g").alias("task"), "i", "j", "g", "doc_id", "known", "role", "s"))
+    return _compared(whole, percent)
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row a row of docs."""
+    sig = stored(signatures(docs, k, rows, n_bands), "signatures")
+    alive = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = alive.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    reps = alive.join(classes, [alive["k1"] == classes["k1"], alive["k2"] == classes["k2"], alive["doc_id"] == classes["rep"]], "left_semi").dropDuplicates(["k1", "k2"])
+    posted = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
+    first = posted.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = stored(posted.join(first, "key"), "members")
+
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    texts = plain(docs)
+    held = shingle_sets(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi"), k)
+    sets = stored(held.dropDuplicates(["doc_id", "key"]).withColumn("n", (F.length("s") / 8).cast("long")), "sets")
+
+    others = members.where("least < rep")
+    stars = stored(others.select("least", "rep").distinct(), "stars")
+    verified = stored(components(_by_star(stars, sets, percent)), "verified")
+    # what is left: buckets whose members, but for the smallest, aren't in one part
+    at = others.join(verified, others["rep"] == verified["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("known"))
+    unsettled = at.groupBy("key").agg(F.min("rep").alias("next"), F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("key", "next")
+    groups = components(at.join(unsettled, "key").select(F.col("next").alias("a"), F.col("rep").alias("b")))
+    known = groups.join(verified.withColumnRenamed("component", "part"), "node", "left")
+    links = _by_group(known.select(F.col("component").alias("g"), "node", F.coalesce("part", "node").alias("known")), sets, percent)
+    links = links.unionByName(verified.select(F.col("node").alias("a"), F.col("component").alias("b")))
     # a document with several texts joins the classes of all of them
     several = alive.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select(F.col("doc_id").alias("id"))
     texts_of = alive.join(several, alive["doc_id"] == several["id"], "left_semi").select("doc_id", "k1", "k2")
     own = texts_of.join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     parts = stored(components(links.unionByName(own)), "components")
-    drop(members, sets, groups, held)
+    drop(members, sets, stars, verified)
     whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = sig.join(whole, (sig["k1"] == whole["k1"]) & (sig["k2"] == whole["k2"]) & (sig["n_shingles"] > 0) & sig["doc_id"].isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))

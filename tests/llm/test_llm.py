@@ -303,10 +303,10 @@ def test_ranks_round_trip():
         assert (id_files.unpack_ranks(*id_files.pack_ranks(x[:n]), n) == x[:n]).all()
 
 
-def brute_components(k, percent=80):
+def brute_components(k, percent=80, among=None):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
-    for doc, text, *_ in rows():
+    for doc, text, *_ in among or rows():
         w = SPACE.findall((text or "").translate(lower))
         sets.append((doc, {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
     root = {d: d for d, _ in sets if d is not None}
@@ -328,6 +328,37 @@ def test_minhash_dedup(docs, empty, monkeypatch, block):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def crowd():
+    """Variants of one text, too far apart to be linked but in common buckets; near copies of them; and a text that drifts."""
+    r = np.random.default_rng(77)
+    base, out = [f"w{i}" for i in range(240)], []
+    for v in range(14):
+        words = list(base)
+        for i in r.choice(240, 7, replace=False):
+            words[i] = f"v{v}x{i}"
+        out += [" ".join([*words, *(f"e{v}" for _ in range(n))]) for n in (0, 1, 3)]
+    out += [" ".join(f"d{i}" for i in range(5 * n, 5 * n + 150)) for n in range(16)]
+    return [(int(i), t) for i, t in zip(r.permutation(len(out)) + 1, out, strict=True)]
+
+
+@pytest.mark.parametrize("block", [500_000, 2_000])
+def test_minhash_dedup_of_a_crowd(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
+    asked = []
+    by_group = minhash_dedup._by_group
+
+    def spied(groups, *rest):
+        asked.append(groups.count())
+        return by_group(groups, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "_by_group", spied)
+    data = crowd()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    _, comp = brute_components(5, among=data)
+    assert {r["doc_id"]: r["component_id"] for r in got} == comp
+    assert len(set(comp.values())) > 5 and asked[0] > 20  # most are compared beyond the smallest of their buckets
+
+
 def test_near_duplicates_of_repeated_documents(spark):
     t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
     data = [(5, t), (5, u), (2, t + " x"), (3, u + " y"), (9, "else"), (9, u), (8, t), (8, t)]
