@@ -34,7 +34,7 @@ from lichen.llm._words import mix, slices, weights, words
 
 SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES, STAR_SHINGLES = 500_000, 100_000
 SALTS = 64
 ASKS, LISTED = 1, 2
 _random = np.random.Generator(np.random.PCG64(5_077))
@@ -193,11 +193,11 @@ def _compared(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.select("task", "i", "j", "g", "doc_id", "known", "role", "s").groupBy("task", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def _cut(held: DataFrame, large: DataFrame, role: Column) -> tuple[DataFrame, DataFrame]:
+def _cut(held: DataFrame, large: DataFrame, role: Column, block: int) -> tuple[DataFrame, DataFrame]:
     """(tasks of groups that fit in a block, dealt together; rows of those in ``large``, by g, with its columns).
 
     ``large`` has a row for a block's worth of shingles at most, and is met in SALTS parts, so no task holds a group."""
-    tasks = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    tasks = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // block))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     wide = large.withColumn("salt", salts).withColumnRenamed("g", "_g")
     at = held.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
@@ -214,8 +214,8 @@ def _each(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _blocks(weight: Column) -> Column:
-    return F.ceil(weight / BLOCK_SHINGLES).cast("int")
+def _blocks(weight: Column, block: int) -> Column:
+    return F.ceil(weight / block).cast("int")
 
 
 def _by_star(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,9 +223,9 @@ def _by_star(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = stars.unionByName(stars.select("least", F.col("least").alias("rep")).distinct())
     held = pairs.join(sets, pairs["rep"] == sets["doc_id"]).select(F.col("least").alias("g"), "doc_id", F.col("doc_id").alias("known"), "n", "s")
     held = stored(held, "held")
-    large = held.groupBy("g").agg(_blocks(F.sum("n")).alias("blocks")).where("blocks > 1")
+    large = held.groupBy("g").agg(_blocks(F.sum("n"), STAR_SHINGLES).alias("blocks")).where("blocks > 1")
     asks = F.col("doc_id") == F.col("g")
-    whole, cut = _cut(held, large, F.when(asks, ASKS).otherwise(LISTED))
+    whole, cut = _cut(held, large, F.when(asks, ASKS).otherwise(LISTED), STAR_SHINGLES)
     parts = [cut.where(asks).withColumn("i", _each("blocks")).withColumn("role", F.lit(ASKS)), cut.where(~asks).withColumn("i", _dealt("blocks")).withColumn("role", F.lit(LISTED))]
     for p in parts:
         whole = whole.unionByName(p.select(F.col("g").alias("task"), "i", F.lit(-1).alias("j"), "g", "doc_id", "known", "role", "s"))
@@ -238,8 +238,8 @@ def _by_group(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = stored(held, "held")
     part = held.groupBy("g", "known").agg(F.sum("n").alias("w"))
     of = part.groupBy("g").agg(F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("known", F.struct("w", -F.col("known"))).alias("major"))
-    large = of.select("g", "major", _blocks(F.col("all")).alias("blocks"), _blocks(F.col("all") - F.col("most")).alias("asked")).where("blocks > 1")
-    whole, cut = _cut(held, large, F.lit(0))
+    large = of.select("g", "major", _blocks(F.col("all"), BLOCK_SHINGLES).alias("blocks"), _blocks(F.col("all") - F.col("most"), BLOCK_SHINGLES).alias("asked")).where("blocks > 1")
+    whole, cut = _cut(held, large, F.lit(0), BLOCK_SHINGLES)
     cut = cut.where("asked > 0")
     parts = [cut.where("known <> major").withColumn("i", _dealt("asked")).withColumn("j", _each("blocks")).withColumn("role", F.lit(ASKS)), cut.withColumn("j", _dealt("blocks")).withColumn("i", _each("asked")).withColumn("role", F.lit(LISTED))]
     for p in parts:
@@ -259,8 +259,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
 
     ids = members.select(F.col("rep").alias("id")).distinct()
     texts = plain(docs)
-    held = shingle_sets(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi"), k)
-    sets = stored(held.dropDuplicates(["doc_id", "key"]).withColumn("n", (F.length("s") / 8).cast("long")), "sets")
+    # rows of a document meet in this join, so repeated ones go without another shuffle
+    texts = texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = stored(shingle_sets(texts, k).withColumn("n", (F.length("s") / 8).cast("long")), "sets")
 
     others = members.where("least < rep")
     stars = stored(others.select("least", "rep").distinct(), "stars")

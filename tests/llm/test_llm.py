@@ -322,6 +322,7 @@ def brute_components(k, percent=80, among=None):
 @pytest.mark.parametrize("block", [500_000, 300])
 def test_minhash_dedup(docs, empty, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(minhash_dedup, "STAR_SHINGLES", block)
     sets, comp = brute_components(5)
     got = minhash_dedup.near_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter((d, len(s), comp.get(d), d is None or comp[d] == d) for d, s in sets)
@@ -344,6 +345,7 @@ def crowd():
 @pytest.mark.parametrize("block", [500_000, 2_000])
 def test_minhash_dedup_of_a_crowd(spark, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(minhash_dedup, "STAR_SHINGLES", block)
     asked = []
     by_group = minhash_dedup._by_group
 
