@@ -35,7 +35,7 @@ from lichen.llm._words import mix, slices, weights, words
 SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
 BLOCK_SHINGLES, STAR_SHINGLES = 500_000, 100_000
-SALTS = 64
+SALTS, HOT = 64, 1_000
 ASKS, LISTED = 1, 2
 _random = np.random.Generator(np.random.PCG64(5_077))
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -247,11 +247,25 @@ def _by_group(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _compared(whole, percent)
 
 
+def _told(sig: DataFrame, whole: DataFrame) -> DataFrame:
+    """sig with class_component, that of its class (null without an id or shingles). Classes of more than HOT copies are met in SALTS
+    parts; then the others by class. Rows that have theirs, or get none, are dealt by document in that second step."""
+    live = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    hot = whole.where(F.col("copies") > HOT).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"), F.col("component_id").alias("hot"))
+    rows = sig.select("doc_id", "n_shingles", F.when(live, F.col("k1")).otherwise(F.xxhash64("doc_id", "k1")).alias("k1"), "k2", live.alias("live"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = rows.join(hot, (rows["k1"] == hot["h1"]) & (rows["k2"] == hot["h2"]) & (rows["salt"] == hot["part"]) & rows["live"], "left")
+    open_ = F.col("live") & F.col("hot").isNull()
+    rows = rows.select("doc_id", "n_shingles", "hot", F.when(open_, F.col("k1")).otherwise(F.xxhash64("doc_id", "k1")).alias("c1"), F.col("k2").alias("c2"), open_.alias("open"))
+    rest = whole.where(F.col("copies") <= HOT)
+    both = rows.join(rest, (rows["c1"] == rest["k1"]) & (rows["c2"] == rest["k2"]) & rows["open"], "left")
+    return both.select("doc_id", "n_shingles", F.coalesce("hot", "component_id").alias("class_component"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a row of docs."""
     sig = stored(signatures(docs, k, rows, n_bands), "signatures")
     alive = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = alive.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = alive.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = alive.join(classes, [alive["k1"] == classes["k1"], alive["k2"] == classes["k2"], alive["doc_id"] == classes["rep"]], "left_semi").dropDuplicates(["k1", "k2"])
     posted = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
     first = posted.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -279,9 +293,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     own = texts_of.join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     parts = stored(components(links.unionByName(own)), "components")
     drop(members, sets, stars, verified)
-    whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
-    out = sig.join(whole, (sig["k1"] == whole["k1"]) & (sig["k2"] == whole["k2"]) & (sig["n_shingles"] > 0) & sig["doc_id"].isNotNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
+    whole = classes.join(parts, classes["rep"] == parts["node"], "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = _told(sig, whole).select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

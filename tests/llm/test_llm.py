@@ -323,6 +323,7 @@ def brute_components(k, percent=80, among=None):
 def test_minhash_dedup(docs, empty, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(minhash_dedup, "STAR_SHINGLES", block)
+    monkeypatch.setattr(minhash_dedup, "HOT", 1 if block == 300 else 1_000)
     sets, comp = brute_components(5)
     got = minhash_dedup.near_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter((d, len(s), comp.get(d), d is None or comp[d] == d) for d, s in sets)
@@ -361,10 +362,11 @@ def test_minhash_dedup_of_a_crowd(spark, monkeypatch, block):
     assert len(set(comp.values())) > 5 and asked[0] > 20  # most are compared beyond the smallest of their buckets
 
 
-def test_near_duplicates_of_repeated_documents(spark):
+def test_near_duplicates_of_repeated_documents(spark, monkeypatch):
     t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
     data = [(5, t), (5, u), (2, t + " x"), (3, u + " y"), (9, "else"), (9, u), (8, t), (8, t)]
-    for order in (data, data[::-1], [data[1], data[0], *data[2:]]):
+    for hot, order in enumerate((data, data[::-1], [data[1], data[0], *data[2:]]), 1):
+        monkeypatch.setattr(minhash_dedup, "HOT", hot)
         got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
         assert got == {(2, 2, True), (3, 2, False), (5, 2, False), (8, 2, False), (9, 2, False)}
 
