@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from lichen.operators import density, stats
+from pyspark.sql import functions as F
+
+from lichen.operators import density, naming, stats
 
 
 def plan_of(df):
@@ -67,3 +69,23 @@ def test_a_circular_mean_a_last_bit_under_zero_is_that_of_sql(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", values)
     want = con.execute("SELECT g, degrees(atan2(s, c)) - 360 * floor(degrees(atan2(s, c)) / 360) FROM (SELECT g, avg(cos(radians(v))) AS c, avg(sin(radians(v))) AS s FROM t GROUP BY 1)").fetchall()
     assert got == pytest.approx(dict(want), abs=1e-9) and got["a"] == 360
+
+
+def test_synonyms_are_counted_without_pairs(spark):
+    r = np.random.default_rng(7)
+    ids = [(f"n{r.integers(0, 12)}", int(i)) for i in r.integers(0, 300, 700)] + [(None, 5), ("n1", None), ("only", 7)]
+    pick = lambda: [f"n{i}" for i in r.integers(0, 14, r.integers(0, 4))]
+    taxa = [(k, None if k % 11 == 0 else k, pick()) for k in range(400)] + [(900, 7, ["only"]), (901, 8, ["only", None]), (902, 1, None)]
+    t, i = spark.createDataFrame(taxa, "taxon_key long, id long, synonyms array<string>"), spark.createDataFrame(ids, "name string, id long")
+    listed = {x["taxon_key"]: (len(x["ids"]), x["ids"][0]) for x in naming.synonym_ids(t, i).collect()}
+    found = [tuple(x) for x in naming.synonym_counts(t, i).collect()]
+    assert len(found) == len(listed) > 250 and {k: (n, a) for k, n, a in found} == listed and 900 not in listed and listed[901] == (1, 7)
+
+
+def test_synonym_ids_of_one_name_take_no_square(spark, tmp_path):
+    from lichen.plans import CATALOG
+
+    # 60,000 parts of a name are 3.6e9 pairs
+    spark.range(60_000).select(F.col("id").alias("p_partkey"), F.when(F.col("id") == 9, "rare").otherwise("red ring").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    got = CATALOG["synonym_ids"][0](spark, str(tmp_path)).groupBy("n", "first").agg(F.count("*").alias("k")).collect()
+    assert sorted(map(tuple, got)) == [(59998, 0, 59998), (59998, 1, 1)]
