@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lichen.operators import density, naming, stats
+from lichen.operators import density, naming, places, stats, timeseries
 
 
 def plan_of(df):
@@ -89,3 +89,55 @@ def test_synonym_ids_of_one_name_take_no_square(spark, tmp_path):
     spark.range(60_000).select(F.col("id").alias("p_partkey"), F.when(F.col("id") == 9, "rare").otherwise("red ring").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
     got = CATALOG["synonym_ids"][0](spark, str(tmp_path)).groupBy("n", "first").agg(F.count("*").alias("k")).collect()
     assert sorted(map(tuple, got)) == [(59998, 0, 59998), (59998, 1, 1)]
+
+
+ODD = [(1000, None, 4.0), (1001, math.nan, 4.0), (1002, 4.0, math.nan), (1003, 2.0, 2.0), (1004, 2.0, 2.0), (1005, 89.0, 170.0)]
+
+
+def check_found(monkeypatch, find, want, most):
+    """Results as wanted, and half of the cells have at most ``most`` regions to compare a point with."""
+    kept, prune = [], places._first_of_cells
+    monkeypatch.setattr(places, "_first_of_cells", lambda x: kept.append(prune(x)) or kept[-1])
+    assert sorted(map(tuple, find().collect())) == sorted(want.items())
+    assert kept[0].groupBy("i", "j").count().agg(F.percentile("count", F.lit(0.5))).first()[0] <= most
+
+
+def test_boxes_of_one_cell_are_not_all_met(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    corner, size = r.uniform(-8, 4, (3000, 2)), r.uniform(3, 12, (3000, 2))
+    boxes = [(f"r{i:05}", *map(float, corner[i]), *map(float, corner[i] + size[i])) for i in range(3000)]
+    boxes += [("r99999", *boxes[5][1:]), ("r00000", 0.0, 0.0, 5.0, 5.0)]
+    pts = [(k, float(a), float(o)) for k, (a, o) in enumerate(r.uniform(-12, 14, (300, 2)))] + [(500, 0.0, 0.0), (501, 5.0, 5.0)] + ODD
+    inside = lambda a, o: min((b[0] for b in boxes if a is not None and b[1] < a < b[3] and b[2] < o < b[4]), default=None)
+    got = lambda: places.first_region(spark.createDataFrame(pts, "k long, lat double, lon double"), "k", spark.createDataFrame(boxes, "region string, south double, west double, north double, east double"), 2.0)
+    check_found(monkeypatch, got, {k: inside(a, o) for k, a, o in pts}, 120)
+
+
+def test_outlines_of_one_cell_are_not_all_met(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    shapes = []
+    for i in range(600):
+        turn = np.sort(r.uniform(0, 2 * math.pi, int(r.integers(3, 9))))
+        ring = [(float(a), float(o)) for a, o in zip(r.uniform(-5, 5) + np.sin(turn) * r.uniform(3, 9), r.uniform(-5, 5) + np.cos(turn) * r.uniform(3, 9), strict=True)]
+        shapes.append((f"r{i:04}", [ring, [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]] if i % 4 == 0 else [ring]))  # a hole, or a place of its own
+    shapes.append(("r9999", shapes[3][1]))
+
+    def holds(rings, a, o):
+        sides = [(p, q) for x in rings for p, q in zip(x, [*x[1:], x[0]], strict=True)]
+        return sum((a > p[0]) != (a > q[0]) and o < p[1] + (a - p[0]) * ((q[1] - p[1]) / (q[0] - p[0])) for p, q in sides) % 2 == 1
+
+    pts = [(k, float(a), float(o)) for k, (a, o) in enumerate(r.uniform(-12, 12, (300, 2)))] + [(500, 0.5, 0.5), (501, 5.0, 5.0)] + ODD
+    want = {k: min((n for n, rings in shapes if a is not None and not math.isnan(a + o) and holds(rings, a, o)), default=None) for k, a, o in pts}
+    regions = spark.createDataFrame([(n, [[{"lat": a, "lon": o} for a, o in x] for x in rings]) for n, rings in shapes], "region string, rings array<array<struct<lat: double, lon: double>>>")
+    got = lambda: places.region_at(spark.createDataFrame(pts, "k long, lat double, lon double"), "k", regions, 2.0)
+    check_found(monkeypatch, got, want, 120)
+
+
+def test_a_window_is_added_up_once_for_the_points_that_share_it(spark):
+    series = [(c, h, float(h * (c + 1) % 17) if h % 7 else None) for c in range(2) for h in range(200)]
+    pts = [(k, k % 3, 100 + k % 2) for k in range(4000)] + [(9000, None, 5)]
+    got = timeseries.at_observations(spark.createDataFrame(pts, "k long, cell long, hour long"), spark.createDataFrame(series, "cell long, hour long, value double"), 24, "k")
+    sums = lambda c, h: [v for x, y, v in series if x == c and h - 24 < y <= h and v is not None]
+    want = {k: (sum(s) if (s := sums(c, h)) else None, len(s)) for k, c, h in pts}
+    assert {r["k"]: (r["sum"], r["n"]) for r in got.collect()} == want and got.count() == len(pts)
+    assert "keys=[k#" not in plan_of(got)  # no sum for each point
