@@ -62,20 +62,21 @@ def parse_stat_filter(text: str) -> tuple[str, str, str, float, bool]:
 def stat_filter(tall: DataFrame, text: str) -> DataFrame:
     """taxon_keys that satisfy a filter on tall statistics (taxon_key, variable, metric, value). A class metric that is
     absent while total_samples is there is 0; with :count, the fraction times the total is rounded half to even."""
-    variable, metric, op, value, as_count = parse_stat_filter(text)
-    own = tall.where(F.col("variable") == variable)
-    agg = own.groupBy("taxon_key").agg(F.max(F.when(F.col("metric") == metric, F.col("value"))).alias("v"), F.max(F.when(F.col("metric") == "total_samples", F.col("value"))).alias("total"))
-    v = F.coalesce("v", F.when(F.col("total").isNotNull() & F.lit(metric.startswith("class_")), F.lit(0.0)))
-    v = F.rint(v * F.col("total")) if as_count else v
-    return agg.where(OPS[op](v, F.lit(value))).select("taxon_key")
+    return stat_filters(tall, [text])
 
 
 def stat_filters(tall: DataFrame, texts: list[str]) -> DataFrame:
-    """Keys that satisfy all filters."""
-    out = tall.select("taxon_key").distinct()
-    for t in texts:
-        out = out.join(stat_filter(tall, t), "taxon_key", "left_semi")
-    return out
+    """Keys that satisfy all filters: one aggregation, of the rows that they ask for."""
+    if not texts:
+        return tall.select("taxon_key").distinct()
+    wanted, values, kept = F.lit(False), [], F.lit(True)
+    for i, (variable, metric, op, limit, as_count) in enumerate(map(parse_stat_filter, texts)):
+        own = lambda m, variable=variable: (F.col("variable") == variable) & (F.col("metric") == m)
+        wanted = wanted | own(metric) | own("total_samples")
+        values += [F.max(F.when(own(metric), F.col("value"))).alias(f"v{i}"), F.max(F.when(own("total_samples"), F.col("value"))).alias(f"t{i}")]
+        v = F.coalesce(f"v{i}", F.when(F.col(f"t{i}").isNotNull() & F.lit(metric.startswith("class_")), F.lit(0.0)))
+        kept = kept & OPS[op](F.rint(v * F.col(f"t{i}")) if as_count else v, F.lit(limit))
+    return tall.where(wanted).groupBy("taxon_key").agg(*values).where(kept).select("taxon_key")
 
 
 def ranking_options(positions: DataFrame) -> DataFrame:

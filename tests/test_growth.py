@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lichen.operators import density, naming, places, stats, timeseries
+from lichen.operators import density, naming, places, ranking, stats, timeseries
 
 
 def plan_of(df):
@@ -141,3 +141,11 @@ def test_a_window_is_added_up_once_for_the_points_that_share_it(spark):
     want = {k: (sum(s) if (s := sums(c, h)) else None, len(s)) for k, c, h in pts}
     assert {r["k"]: (r["sum"], r["n"]) for r in got.collect()} == want and got.count() == len(pts)
     assert "keys=[k#" not in plan_of(got)  # no sum for each point
+
+
+def test_a_chain_of_filters_is_one_aggregation(spark):
+    tall = spark.createDataFrame([("a", "n", "class_1", 0.25), ("a", "n", "total_samples", 10.0), ("b", "n", "total_samples", 3.0), ("c", "n", "class_1", 0.9), ("d", "m", "class_1", 0.9), (None, "n", "total_samples", 9.0)], "taxon_key string, variable string, metric string, value double")
+    keys = lambda *texts: {r["taxon_key"] for r in ranking.stat_filters(tall, list(texts)).collect()}
+    assert keys("n:class_1:lte:0.5") == {"a", "b", None} and keys("n:class_1:eq:2:count") == {"a"} and keys() == {"a", "b", "c", "d", None}
+    assert keys("n:class_1:lte:0.5", "n:class_2:lt:1:count") == {"a", "b", None} and keys("n:class_1:gt:0.5", "m:class_1:gt:0.5") == set()
+    assert "Join" not in plan_of(ranking.stat_filters(tall, ["n:class_1:lte:0.5", "n:class_2:lt:1:count"]))
