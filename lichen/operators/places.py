@@ -74,7 +74,14 @@ def first_region(points: DataFrame, key: str, regions: DataFrame, cell: float) -
     high = lambda k: (F.col(k) + 1 + SLACK) * cell
     whole = (F.col("south") < low("i")) & (F.col("north") > high("i")) & (F.col("west") < low("j")) & (F.col("east") > high("j"))
     posted = _first_of_cells(posted.withColumn("whole", F.coalesce(whole, F.lit(False))))
-    return _at_places(points, key, cell, lambda p: p.join(posted, ["i", "j"]).where("lat > south AND lat < north AND lon > west AND lon < east"))
+    # the place of a name in its cell, a number, is aggregated by hashing; names would have all that hold a point sorted
+    posted = posted.withColumn("nth", F.row_number().over(Window.partitionBy("i", "j").orderBy(F.col("region").asc_nulls_last())))
+
+    def held(p: DataFrame) -> DataFrame:
+        hits = p.join(posted.drop("region"), ["i", "j"]).where("lat > south AND lat < north AND lon > west AND lon < east")
+        return hits.groupBy("lat", "lon", "i", "j").agg(F.min("nth").alias("nth")).join(posted.select("i", "j", "nth", "region"), ["i", "j", "nth"])
+
+    return _at_places(points, key, cell, held)
 
 
 def edges(rings: Column) -> Column:

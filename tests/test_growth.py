@@ -1,6 +1,7 @@
 """Work that must not grow faster than the input: what the plans make, and that the results are those of the plain way."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -113,6 +114,17 @@ def test_boxes_of_one_cell_are_not_all_met(spark, monkeypatch):
     check_found(monkeypatch, got, {k: inside(a, o) for k, a, o in pts}, 120)
 
 
+def test_boxes_that_hold_a_point_are_not_sorted(spark):
+    # no box holds a whole cell, some have a name in common and some none
+    boxes = [(None if i % 50 == 7 else f"r{(i * 37) % 251:03}", i % 7 * 0.1, i % 11 * 0.1, i % 7 * 0.1 + 1 + i % 13 * 0.01, i % 11 * 0.1 + 1 + i % 17 * 0.01) for i in range(1500)]
+    boxes.append((None, 5.0, 5.0, 5.5, 5.5))
+    pts = [(k, k % 40 * 0.05, k % 37 * 0.06) for k in range(600)] + [(700, 5.2, 5.2)] + ODD
+    got = places.first_region(spark.createDataFrame(pts, "k long, lat double, lon double"), "k", spark.createDataFrame(boxes, "region string, south double, west double, north double, east double"), 9.0)
+    inside = lambda a, o: min((b[0] for b in boxes if b[0] is not None and a is not None and b[1] < a < b[3] and b[2] < o < b[4]), default=None)
+    assert sorted(map(tuple, got.collect())) == sorted((k, inside(a, o)) for k, a, o in pts)
+    assert re.search(r" HashAggregate\(keys=\[[^]]*i#\d+L, j#\d+L\]", plan_of(got))  # of names it would be a SortAggregate
+
+
 def test_outlines_of_one_cell_are_not_all_met(spark, monkeypatch):
     r = np.random.default_rng(12)
     shapes = []
